@@ -8,16 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of applications that name none.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset, as in tests, a new temporary folder."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spotweave-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
+    app = spark.sparkContext.applicationId
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if app not in _own:
+        _own[app] = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spotweave-")
+    return _own[app]
 
 
-def written(df: DataFrame, keep: str = "lineage cut") -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: computed once, safe against lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/spotweave-{uuid.uuid4().hex}"
