@@ -76,7 +76,7 @@ def test_topk(spark, scale):
     v[10] = v[11] = v[12]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0]), (920, [math.nan] * 5), (940, [math.inf, 0.0, 0.0, 0.0, 0.0])]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7).collect()]
-    x = np.floor(64 * v).astype(object)
+    x = np.floor(64 * v).astype(np.int64).astype(object)
     want = []
     for q in range(0, 300, 20):
         s = sorted(((-int((x[q] * x[i]).sum()), i) for i in range(300) if i != q))[:7]
