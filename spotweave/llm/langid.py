@@ -166,8 +166,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = _predictor(rows, DEPTH)
         for batch in slices(batches, "text"):
-            for found in run(iter([batch])):
-                good = [k != UNKNOWN and s >= least for k, s in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
-                yield batch.filter(pa.array(good, pa.bool_()))
+            scored = [x for found in run(iter([batch])) for x in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
+            yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in scored], pa.bool_()))
 
     return docs.mapInArrow(with_text, docs.schema)
