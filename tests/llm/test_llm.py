@@ -1,12 +1,15 @@
 """The ten operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -96,8 +99,42 @@ def test_line_dedup(spark):
 
 
 def test_simhash_counts_bits():
-    h = np.array([0b01, 0b11, 0b10], np.uint64)
-    assert line_dedup.simhashes(np.array([0, 0, 1, 2]), np.array([0, 3, 4]), h).tolist() == [0b01, 0b10]
+    h = np.array([0b01, 0b01, 0b11, 0b10], np.uint64)
+    assert line_dedup.simhashes(h, np.array([0, 3, 4])).tolist() == [0b01, 0b10]
+    rng = np.random.default_rng(3)
+    n = [1, 254, 255, 256, 700, 2]
+    h, at = rng.integers(0, 1 << 63, sum(n)).astype(np.uint64), np.cumsum([0, *n])
+    plainly = [sum(1 << k for k in range(64) if 2 * sum(int(x) >> k & 1 for x in h[a:b]) > b - a) for a, b in itertools.pairwise(at)]
+    assert line_dedup.simhashes(h, at).tolist() == plainly
+
+
+def test_word_hashes_tell_words():
+    lines = ["ab a b", "ab", "donaudampfschifffahrt donaudampfschifffahrs donaudam", "ä ö ab", "x" * 40_000]
+    h, at = line_dedup.word_hashes(pa.array(lines))
+    flat = [w for x in lines for w in x.split(" ")]
+    assert at.tolist() == [0, 3, 4, 7, 10, 11] and len({*h.tolist()}) == len({*flat})
+    assert all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(11) for j in range(11))
+
+
+def _levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, e in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != e))
+    return row[-1]
+
+
+def test_within_edits():
+    rng = random.Random(1)
+    for _ in range(2000):
+        x = "".join(rng.choice("ab cé") for _ in range(rng.randint(0, 30)))
+        y = list(x) if rng.random() < 0.7 else [rng.choice("ab cé") for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randint(0, len(y))
+            y[k : k + rng.randint(0, 2)] = rng.choice(["", "a", "b ", "c"])
+        y, most = "".join(y), rng.randint(0, 12)
+        assert line_dedup.within_edits(x, y, most) == (_levenshtein(x, y) <= most), (x, y, most)
 
 
 def test_quotes(spark):
