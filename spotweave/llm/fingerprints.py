@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm.text import mix, slices
@@ -28,8 +28,9 @@ from spotweave.llm.text import mix, slices
 K = 5
 BUCKETS = 128
 TUPLE = 2
-#: Code points of text for each range of ids.
-RANGE_CHARS = 16_000_000
+#: Code points of text for each range of ids, and how many ranges there can be; beyond that they grow. Tasks stream ranges.
+RANGE_CHARS = 4_000_000
+MAX_RANGES = 1 << 16
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -108,28 +109,31 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _above(marks: list[int]) -> Column:
+    """How many of the ascending marks are at least the id: a binary search in the plan."""
+    if not marks:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")  # folded to one constant
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(marks).bit_length()))])
+    below = F.reduce(steps, F.lit(0), lambda at, step: F.when((at + step <= len(marks)) & (F.get(held, at + step - 1) < F.col("id")), at + step).otherwise(at))
+    return F.lit(len(marks)) - below
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_chars: int = RANGE_CHARS) -> DataFrame:
     """(range, extra, id, text): each range's documents by descending id, then, marked extra, the one that follows its last."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.length("text")).alias("chars")).first().chars or 0
-    n = max(1, -(-size // range_chars))
+    n = min(MAX_RANGES, max(1, -(-size // range_chars)))
     marks = source.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("m")).first().m if n > 1 else []
     marks = sorted(set(marks or []))
-    place = sum((F.col("id") <= m).cast("int") for m in marks) if marks else F.lit(0)
-    ranged = source.withColumn("range", F.when(F.col("id").isNull(), F.lit(len(marks) + 1)).otherwise(place))
-    # The first row of each range: its id first, then the text of that one row.
-    order = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), (-F.xxhash64("text").cast("decimal(20,0)")).alias("tie"))
-    heads = ranged.groupBy("range").agg(F.max(order).alias("first"))
-    known = sorted((r.range, r.first.id, r.first.tie) for r in heads.collect())  # one row a range
-    if not known:
-        return ranged.select("range", F.lit(False).alias("extra"), "id", "text")
-    before = {known[i][0]: known[i - 1][0] for i in range(len(known))}
-    head = F.lit(False)
-    for r, i, tie in known:
-        head = head | ((F.col("range") == r) & (F.coalesce("id", F.lit(-(1 << 63))) == i) & ((-F.xxhash64("text").cast("decimal(20,0)")) == F.lit(tie)))
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    extra = ranged.where(head).select(F.element_at(to, F.col("range")).alias("range"), F.lit(True).alias("extra"), "id", "text").dropDuplicates(["range"])
-    return ranged.select("range", F.lit(False).alias("extra"), "id", "text").unionByName(extra)
+    ranged = source.withColumn("range", F.when(F.col("id").isNull(), F.lit(len(marks) + 1)).otherwise(_above(marks)))
+    # The first row of each range: the greatest id, then the smallest hash. At most MAX_RANGES + 1 rows.
+    keys = [F.coalesce("id", F.lit(-(1 << 63))).alias("first_id"), F.bitwise_not(F.xxhash64("text")).alias("first_tie")]
+    heads = sorted((r.range, r.first.first_id, r.first.first_tie) for r in ranged.groupBy("range").agg(F.max(F.struct(*keys)).alias("first")).collect())
+    following = [(of, *heads[i][1:], heads[i - 1][0]) for i, (of, *_) in enumerate(heads)]
+    heads = docs.sparkSession.createDataFrame(following, "range int, first_id long, first_tie long, to int")
+    extra = ranged.select("*", *keys).join(F.broadcast(heads), ["range", "first_id", "first_tie"]).dropDuplicates(["range"])
+    return ranged.select("range", F.lit(False).alias("extra"), "id", "text").unionByName(extra.select(F.col("to").alias("range"), F.lit(True).alias("extra"), "id", "text"))
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

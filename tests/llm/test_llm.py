@@ -215,6 +215,23 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_fingerprint_ranges(spark):
+    """Over many ranges of ids, with gaps and negative ids, each document is followed by the next lower id."""
+    ids = sorted({int(x) for x in np.random.default_rng(7).integers(-(10**6), 10**12, 300)}, reverse=True)
+    docs = spark.createDataFrame([(i, words(abs(i) % 1000, 20)) for i in ids], "doc_id long, text string").repartition(3)
+    dealt = fingerprints.with_next(docs, range_chars=400)
+    held = {}
+    for r in dealt.collect():
+        held.setdefault(r.range, []).append((r.extra, -r.id))
+    assert len(held) > 50
+    pairs = {}
+    for rows in held.values():
+        rows.sort()
+        assert [x[0] for x in rows].count(True) == 1 and rows[-1][0]
+        pairs |= {-a[1]: -b[1] for a, b in itertools.pairwise(rows)}
+    assert pairs == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+
+
 def test_fingerprints(spark, docs):
     got = {(r.doc_id, r.edited_sha256): r for r in fingerprints.compare_edited(docs).collect()}
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id not in (None, 10)), reverse=True)
