@@ -40,3 +40,21 @@ def genes(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "part").where("p_partkey <= 120")
     start = 990 + (F.col("p_partkey") * 37) % 260
     return p.select(F.concat(F.lit("chr"), (1 + F.col("p_partkey") % 4).cast("string")).alias("chrom"), start.alias("start"), (start + 3 + F.col("p_size") % 17).alias("end"), F.concat(F.lit("G"), F.col("p_partkey").cast("string")).alias("gene"))
+
+
+def reads(spark: SparkSession, folder: str) -> DataFrame:
+    """A read of 40 bases for each order, with one of four CIGARs."""
+    cigars = ("0:40", "4:3 0:20 1:2 0:15", "0:10 2:4 0:20 3:50 0:10", "5:7 4:5 7:15 8:1 0:17 4:2")
+    kinds = F.array(*[F.array(*[F.struct(*[F.lit(int(x)).alias(n) for n, x in zip(("op", "len"), c.split(":"), strict=True)]) for c in w.split()]) for w in cigars])
+    key = F.col("o_orderkey")
+    return table(spark, folder, "orders").select(
+        key.alias("read_id"), F.concat(F.lit("chr"), (1 + key % 3).cast("string")).alias("chrom"), (key % 300).alias("ref_start"), (key % 4 * 85).cast("int").alias("mapq"), (key % 2 == 1).alias("is_reverse"),
+        F.substr(F.lit("ACGTTGCAN" * 6), (1 + F.col("o_custkey") % 9).cast("int"), F.lit(40)).alias("seq"), F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: ((i * 7 + key) % 45).cast("int")).alias("quals"),
+        F.get(kinds, (key % 4).cast("int")).alias("cigar"), F.when(F.col("o_custkey") % 11 != 0, F.concat(F.lit("BC"), (F.col("o_custkey") % 50).cast("string"))).alias("cb"), (key % 10).cast("string").alias("ub"), (key % 7).cast("int").alias("nm"),
+    )
+
+
+def read_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Sites out of every third part: chrom, pos, ref."""
+    p = table(spark, folder, "part").where("p_partkey % 3 = 0")
+    return p.select(F.concat(F.lit("chr"), (1 + F.col("p_partkey") % 4).cast("string")).alias("chrom"), (1 + F.col("p_partkey") % 400).alias("pos"), F.lit("A").alias("ref"))

@@ -13,6 +13,7 @@ from spotweave.operators import events as E
 from spotweave.operators import features as X
 from spotweave.operators import genotype as T
 from spotweave.operators import grouped, intervals, ml
+from spotweave.operators import reads as R
 from spotweave.plans import demo
 from spotweave.session import ship
 from spotweave.sources.text import parse_pileup_bases, vcf_lines
@@ -455,3 +456,18 @@ def set_except(s, d):
 def sort_chrom_aware(s, d):
     n, name = G.chromosome_order(F.col("chrom"))
     return _sites(s, d).select("chrom", "pos", n.alias("o"), name.alias("name")).orderBy("o", "name", "pos").select("chrom", "pos", "o")
+
+
+@query
+def umi_event_explode(s, d):
+    return R.explode_reads(demo.reads(s, d), demo.read_sites(s, d))
+
+
+@query
+def filter_reads_quality(s, d):
+    return R.filter_reads_quality(demo.reads(s, d)).select("read_id", "mapq", "nm")
+
+
+@query
+def filter_reads_by_barcode(s, d):
+    return R.filter_reads_by_barcode(demo.reads(s, d), demo.clusters(s).where("cluster = '1'")).select("read_id", F.col("cb").alias("barcode"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotweave.functions import genome, prob
-from spotweave.operators import events, features, genotype, grouped, intervals
+from spotweave.operators import events, features, genotype, grouped, intervals, reads
 from spotweave.sources import text
 
 
@@ -100,3 +100,20 @@ def test_vcf_lines(spark):
     v = spark.createDataFrame([("chr10", 5, "A", "G", "PASS", 7, 0.25), ("chr2", 9, "C", "T", "PASS", None, 0.5), ("chr2", 1, "C", "T", "LOW_VAF", 1, 0.5)], "chrom string, pos long, ref string, alt string, filter string, dp int, vaf double")
     got = [r.line for r in text.vcf_lines(v, {"DP": ("dp", "Integer"), "VAF": ("vaf", "Float")}).collect()]
     assert got[0].startswith("chr2\t9\t.\tC\tT\t.\tPASS\tVAF=0.5") and "DP=7;VAF=0.25" in got[1]
+
+
+def test_explode_reads(spark):
+    """Clips, insertions, deletions and skips; repeated sites, missing tags, short qualities, an unknown base."""
+    kind = "read_id long, chrom string, ref_start long, is_reverse boolean, seq string, quals array<int>, cigar array<struct<op:int,len:int>>, cb string, ub string"
+    rows = [
+        (1, "c", 253, False, "TTACGTA", [1, 2, 3, 4, 5, 6, 7], [(4, 2), (0, 2), (1, 1), (2, 3), (7, 2)], "b", "u"),  # positions 254, 255 and 259, 260
+        (2, "c", 253, True, "ANG", [41, 9], [(0, 3)], "b", "u"),  # too good, unknown, without a quality
+        (3, "c", 253, False, "AAA", [9, 9, 9], [(0, 3)], None, "u"),
+        (4, "c", 253, False, "AC", [9, 8], [(0, 1), (3, 1000), (8, 1)], "b", "u"),
+        (5, "c", 253, False, "A", [9], None, "b", "u"),
+        (6, "c", 253, False, None, None, [(0, 2)], "b", "u"),
+    ]
+    sites = spark.createDataFrame([("c", p, "A") for p in (254, 255, 255, 256, 259, 260, 1255)] + [("d", 254, "A")], "chrom string, pos long, ref string")
+    got = sorted((r.read_id, r.pos, r.base, r.qual) for r in reads.explode_reads(spark.createDataFrame(rows, kind), sites).collect())
+    assert got == [(1, 254, "A", 3), (1, 255, "C", 4), (1, 259, "T", 6), (1, 260, "A", 7), (4, 254, "A", 9), (4, 1255, "C", 8)]
+    assert reads.explode_reads(spark.createDataFrame([], kind), sites).count() == 0

@@ -17,7 +17,7 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["umi_consensus", "join_cluster_vaf_calc", "interval_left_gene", "rule_filtration"])
+@pytest.mark.parametrize("name", ["umi_consensus", "join_cluster_vaf_calc", "interval_left_gene", "rule_filtration", "umi_event_explode", "filter_reads_quality", "filter_reads_by_barcode"])
 def test_query(spark, name):
     c = duckdb.connect()
     for t in TABLES:
