@@ -108,15 +108,17 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     rows = rows.withColumn("want", want).join(turns, (F.col("conv_id") == F.col("p_conv")) & (F.col("want") == F.col("p_turn")), "left")
     rows = written(rows.select(*[c for c in rows.columns if c != "want"], F.col("p_turn").alias("reply_to")))
 
-    # (conv_id, turn) -> an ancestor and its distance; each round doubles the distance.
+    # (conv_id, turn) -> an ancestor and its distance; each round doubles the distance of the turns that have not met
+    # their thread's first turn yet, and only those.
     at = rows.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("reply_to").alias("up"))
-    at = written(at.select("conv_id", "turn", F.coalesce("up", "turn").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    while True:
-        above = at.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        step = written(at.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("depth2") > 0).alias("moved")))
-        at = step.drop("moved")
-        if step.where("moved").isEmpty():
-            break
+    at = written(at.select("conv_id", "turn", F.coalesce("up", "turn").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("arrived")))
+    arrived, going = at.where("arrived"), at.where("not arrived")
+    while not going.isEmpty():
+        above = arrived.unionByName(going).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("arrived").alias("arrived2"))
+        step = going.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("arrived2").alias("arrived"))
+        step = written(step)
+        arrived, going = arrived.unionByName(step.where("arrived")), step.where("not arrived")
+    at = arrived.drop("arrived")
     return rows.join(at, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "clean_text", "quote_levels", "n_passages", "n_linked", "quoted_conv", "quoted_turn", "reply_to", F.coalesce("up", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth")
     )

@@ -215,6 +215,14 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_chat_depths(spark):
+    """Long and short threads without quotations: depth counts the turns up to the first; a gap begins a thread."""
+    turns = [(1, i) for i in range(70)] + [(2, 0)] + [(3, i) for i in (0, 1, 2, 5, 6)]
+    rows = [(c, i, "user", f"text {c} {i}") for c, i in turns]
+    got = {(r.conv_id, r.turn): (r.thread, r.depth) for r in chat_quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(c, i): (5, i - 5) if c == 3 and i >= 5 else (0, i) for c, i in turns}
+
+
 def test_fingerprint_ranges(spark):
     """Over many ranges of ids, with gaps and negative ids, each document is followed by the next lower id."""
     ids = sorted({int(x) for x in np.random.default_rng(7).integers(-(10**6), 10**12, 300)}, reverse=True)
