@@ -98,6 +98,25 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_edited_lines(spark):
+    """Of lines with a changed letter, or with a changed word of at most a tenth of the letters, few are missed at any length."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, kind = [], {}
+    for n, edit in itertools.product((8, 20, 50), ("letter", "word")):
+        for _ in range(60):
+            line = [word(rng.randint(4, 8)) for _ in range(n)]
+            copy, k = list(line), rng.randrange(n)
+            line[k] = copy[k] = word(4)
+            copy[k] = copy[k][:2] + "é" + copy[k][3:] if edit == "letter" else word(4)
+            rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(copy))]
+            kind[len(rows) - 1] = n, edit
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed} <= set(kind)
+    found = Counter(kind[r.doc_id] for r in got if r.n_removed)
+    assert all(found[x] >= (48 if x == (8, "word") else 57) for x in set(kind.values())), found
+
+
 def test_simhash_counts_bits():
     h = np.array([0b01, 0b01, 0b11, 0b10], np.uint64)
     assert line_dedup.simhashes(h, np.array([0, 3, 4])).tolist() == [0b01, 0b10]
