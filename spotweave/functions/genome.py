@@ -45,13 +45,20 @@ def cause_poly_alt(left5: Column, alt: Column, right5: Column) -> Column:
 def homopolymer(sequence: Column, run: int = 6) -> Column:
     """The base of the run of six nearest to the middle (first of A, T, C, G on a tie); null without one."""
     middle = (F.length(sequence) + 1) / 2
-    found = F.array(*[F.struct(_distance(sequence, b, run, middle).alias("d"), F.lit(i).alias("i"), F.lit(b).alias("b")) for i, b in enumerate(BASES)])
-    return F.array_min(F.filter(found, lambda x: x["d"].isNotNull()))["b"]
-
-
-def _distance(sequence: Column, base: str, run: int, middle: Column) -> Column:
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(sequence) - (run - 1))), lambda i: F.substr(sequence, i, F.lit(run)) == base * run)
-    return F.array_min(F.transform(starts, lambda i: F.greatest(i - middle, middle - (i + (run - 1)), F.lit(0.0))))
+    runs = "|".join(f"{b}{{{run},}}" for b in BASES)
+    # What is between runs, and the runs: a run's place is the sum of all lengths before it.
+    pieces = F.arrays_zip(F.split(sequence, runs, -1).alias("before"), F.regexp_extract_all(sequence, F.lit(f"({runs})"), F.lit(1)).alias("run"))
+    none = F.lit(None).cast("struct<d:double,i:int,b:string>")
+
+    def step(at: Column, piece: Column) -> Column:
+        start = at["next"] + F.length(piece["before"])
+        end = start + F.length(piece["run"])
+        base = F.substr(piece["run"], F.lit(1), F.lit(1))
+        d = F.greatest(start - middle, middle - (end - 1), F.lit(0.0))
+        found = F.when(piece["run"].isNotNull(), F.struct(d.alias("d"), base_rank(base).alias("i"), base.alias("b")))
+        return F.struct(F.coalesce(end, start).alias("next"), F.least(at["best"], found).alias("best"))
+
+    return F.aggregate(pieces, F.struct(F.lit(1).alias("next"), none.alias("best")), step)["best"]["b"]
 
 
 def chromosome_order(chrom: Column) -> list[Column]:

@@ -279,7 +279,7 @@ def refine_spectrum(s, d):
 
 @query
 def homopolymer(s, d):
-    t = demo.table(s, d, "pages").select("page_id", F.translate(F.upper(F.substr("html", F.lit(1), F.lit(2000))), "OE", "AA").alias("seq"))
+    t = demo.table(s, d, "pages").select("page_id", F.translate(F.upper("html"), "OE", "AA").alias("seq"))
     return t.select("page_id", G.homopolymer(F.concat("seq", F.when(F.col("page_id") % 3 == 0, F.lit("TTTTTT")).otherwise(F.lit("C")))).alias("base"))
 
 

@@ -117,3 +117,23 @@ def test_explode_reads(spark):
     got = sorted((r.read_id, r.pos, r.base, r.qual) for r in reads.explode_reads(spark.createDataFrame(rows, kind), sites).collect())
     assert got == [(1, 254, "A", 3), (1, 255, "C", 4), (1, 259, "T", 6), (1, 260, "A", 7), (4, 254, "A", 9), (4, 1255, "C", 8)]
     assert reads.explode_reads(spark.createDataFrame([], kind), sites).count() == 0
+
+
+def test_homopolymer_reads_whole_texts(spark, tmp_path):
+    import random
+
+    from spotweave.plans.queries import QUERIES
+
+    def plainly(x):
+        middle, found = (len(x) + 1) / 2, []
+        for i in range(1, len(x) - 4):
+            if x[i - 1 : i + 5] in ("AAAAAA", "TTTTTT", "CCCCCC", "GGGGGG"):
+                found.append((max(i - middle, middle - i - 5, 0), "ATCG".index(x[i - 1]), x[i - 1]))
+        return min(found)[2] if found else None
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ATCGX") * rng.choice((1, 1, 1, 5, 6, 7, 13)) for _ in range(rng.randint(0, 12))) for _ in range(200)] + ["X" * 3000 + "GGGGGG" + "X" * 2000, "", None]
+    rows = [(3 * i + 1, x) for i, x in enumerate(texts)]  # ids to which the query adds a C
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.base for r in QUERIES["homopolymer"](spark, str(tmp_path)).collect()}
+    assert got == {i: x if x is None else plainly(x + "C") for i, x in rows}
