@@ -9,11 +9,10 @@ with nothing. Two documents are linked if 100 * intersection >= 75 * union; a co
    bucket takes the register of the full bucket with the least fixed priority, so small sets fill all buckets.
 2. Documents with the same set become one class before anything is compared.
 3. Bands of 4 registers (32 of them) join classes; a pair at similarity 0.75 shares no band once in 10^5.
-   In each band's group, pairs that the collision-corrected estimate lets through and that are not yet
-   connected are candidates: a spanning forest of the group, never all its pairs.
-4. Candidates are verified on full sets. Candidate components in which verification left several parts get
-   all links between those parts by exact intersections within tasks, so that a failed candidate hides no link;
-   a task gives only links that join parts, and large components are dealt out as pairs of blocks.
+4. `linking` compares full sets within the bands' groups: each class with the least one of its bands, then what
+   is not connected by that, of the first bands and then of the others. The collision-corrected estimate drops pairs
+   that are far from the threshold; every other pair is intersected exactly, unless its ends are connected already.
+   A failed pair hides no other, and groups of any size go by the same blocks.
 
 Null ids: such a row gets a null component, is kept and links with nothing. Rows that repeat an id are separate
 rows of that id. Ties go to the smaller id. An empty table gives an empty result. Only the named columns are
@@ -22,14 +21,14 @@ read, so others may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.graph import components
+from spotweave.llm.linking import connect
 from spotweave.llm.tables import written
 from spotweave.llm.text import hashes, mix, shingles, signed, slices, words
 
@@ -40,10 +39,10 @@ BUCKETS = 128
 ROWS = 4
 #: What the estimate may lack of the threshold before a pair is dropped: more than six standard deviations.
 SLACK = 0.25
-#: Members of a band's group that are compared pair by pair; larger groups are divided by their other bands.
-GROUP = 1024
-#: Nodes of a candidate component that one block has; two blocks are compared in a task.
-SETTLED = 4096
+#: Bands whose groups are settled before those of the others: a pair at the threshold is in one of them nine times of ten.
+FIRST_BANDS = 8
+#: Classes of a band's group that are compared in one block.
+GROUP = 512
 
 _U = np.uint64
 _MANTISSA, _SMALL_MANTISSA = 10, 3
@@ -135,83 +134,6 @@ def _class(s: np.ndarray) -> int:
     return int(signed(mix(np.array([a ^ mix(np.array([b + _U(len(s))]))[0]])))[0])
 
 
-def _between(at: np.ndarray, node: np.ndarray, registers: np.ndarray, bands: np.ndarray | None, needed: int) -> set[tuple[int, int]]:
-    """Candidates among the members `at` of one group: a spanning forest."""
-    if len(at) > GROUP and bands is not None:
-        found: set[tuple[int, int]] = set()
-        for j in range(bands.shape[1]):
-            order = at[np.argsort(bands[at, j], kind="stable")]
-            cuts = np.flatnonzero(np.diff(bands[order, j])) + 1
-            groups = [g for g in np.split(order, cuts) if len(g) > 1]
-            for g in groups:
-                if len(g) < len(at):
-                    found |= _between(g, node, registers, bands, needed)
-            if len(groups) == 1 and len(groups[0]) == len(at):
-                continue
-        if found or len(at) > 16 * GROUP:
-            return found | _led(at, node, registers, needed)
-    found = set()
-    root = np.arange(len(at))
-    r = registers[at]
-    for i in range(len(at) - 1):
-        other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        if not len(other):
-            continue
-        close = other[(r[other] == r[i]).sum(1) >= needed]
-        for k in dict.fromkeys(root[close].tolist()):
-            j = close[np.flatnonzero(root[close] == k)[0]]
-            found.add((int(node[at[i]]), int(node[at[j]])))
-        root[np.isin(root, root[close])] = root[i]
-    return found
-
-
-def _led(at: np.ndarray, node: np.ndarray, registers: np.ndarray, needed: int) -> set[tuple[int, int]]:
-    """Links of a very large group's members to the first member that is close to them."""
-    found, left = set(), at
-    while len(left) > 1:
-        close = (registers[left] == registers[left[0]]).sum(1) >= needed
-        found.update((int(node[left[0]]), int(node[j])) for j in left[1:][close[1:]])
-        left = left[1:][~close[1:]]
-    return found
-
-
-def _screen(grouped: DataFrame, needed: int) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of rows (key, node, registers, bands) that share a key."""
-
-    def flush(batch: pa.Table) -> pa.RecordBatch:
-        key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        end = np.append(start[1:], len(key))
-        lead = np.repeat(start, end - start)
-        near = (registers == registers[lead]).sum(1) >= needed
-        here = near & (node != node[lead])
-        found = set(zip(node[lead][here].tolist(), node[here].tolist(), strict=True))
-        unlike = np.add.reduceat(~near, start)
-        for a, b in zip(start[unlike > 0], end[unlike > 0], strict=True):
-            bands = np.array(batch.column("bands").slice(a, b - a).to_pylist(), np.int64) if b - a > GROUP else None
-            found |= _between(np.arange(b - a), node[a:b], registers[a:b], bands, needed)
-        pairs = [(min(p), max(p)) for p in found if p[0] != p[1]]
-        return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
-            if last == 0 and (not held or held[-1].column("key")[-1].as_py() == key[0]):
-                held.append(batch)
-                continue
-            yield flush(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
-            held = [batch.slice(last)]
-        if held:
-            yield flush(pa.Table.from_batches(held).combine_chunks())
-
-    return grouped.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
-
-
 def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(node, elements) of the classes `nodes` (node, doc_id)."""
 
@@ -224,83 +146,22 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wi
     return source.select("text").mapInArrow(run, "node long, elements binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _similar(threshold: tuple[int, int]):
     part, whole = threshold
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                both = np.concatenate([np.frombuffer(x, _U), np.frombuffer(y, _U)])
-                n = len(both)
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(whole * same >= part * (n - same))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def similar(x: bytes, y: bytes) -> bool:
+        """Whether sets are similar enough; their registers come first."""
+        both = np.concatenate([np.frombuffer(x, _U, offset=BUCKETS), np.frombuffer(y, _U, offset=BUCKETS)])
+        n = len(both)
+        both.sort()
+        same = int((both[1:] == both[:-1]).sum())
+        return whole * same >= part * (n - same)
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return similar
 
 
-def resolve(forest: DataFrame, verify: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the verified links.
-
-    forest: candidate links (a, b) that connect all that may be connected. settle: gives all further links that
-    join parts, for the nodes (node, whole, part) of candidate components that verification left in several parts.
-    """
-    good = written(verify(forest))
-    part = components(good)
-    whole = components(forest).withColumnRenamed("component", "whole")
-    state = written(whole.join(part, "node", "left").select("node", "whole", F.coalesce("component", "node").alias("part")))
-    several = state.groupBy("whole").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("whole")
-    left = written(state.join(several, "whole", "left_semi"))
-    return part if left.isEmpty() else components(good.union(settle(left)))
-
-
-def _joining(node: np.ndarray, part: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that join the parts of a group, by exact intersections: one for each pair of parts as they are joined."""
-    small, whole = threshold
-    size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, element = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(element, kind="stable")
-    posting = owner[order]
-    n = np.bincount(element)
-    start = np.cumsum(n) - n
-    first = np.cumsum(size) - size
-    root = part.copy()
-    _, counts = np.unique(root, return_counts=True)
-    largest = np.unique(root)[np.argmax(counts)]
-    found = []
-    for i in np.flatnonzero(part != largest):  # two parts' link has an end outside the largest
-        if (root == root[i]).all():
-            break
-        mine = element[first[i] : first[i] + size[i]]
-        at = np.repeat(start[mine] - (np.cumsum(n[mine]) - n[mine]), n[mine]) + np.arange(int(n[mine].sum()))
-        same = np.bincount(posting[at], minlength=len(sets))
-        linked = np.flatnonzero((whole * same >= small * (size + size[i] - same)) & (root != root[i]))
-        for k in dict.fromkeys(root[linked].tolist()):
-            found.append((int(node[i]), int(node[linked[root[linked] == k][0]])))
-        root[np.isin(root, root[linked])] = root[i]
-    return found
-
-
-def _settle(left: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links between parts of candidate components, whose sets are compared in tasks of at most two blocks of nodes."""
-    sizes = left.groupBy("whole").agg(F.count("*").alias("n")).select("whole", F.ceil(F.col("n") / SETTLED).alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = left.join(sizes, "whole").withColumn("mine", mine).withColumn("other", other)
-    key = F.xxhash64("whole", F.least("mine", "other"), F.greatest("mine", "other"))
-    rows = rows.select(key.alias("key"), "node", "part").join(sets, "node")
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        links = _joining(t.column("node").to_numpy(), t.column("part").to_numpy(), [np.frombuffer(x, _U) for x in t.column("elements").to_pylist()], threshold)
-        return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
-
-    return rows.select("key", "node", "part", "elements").groupBy("key").applyInArrow(run, "a long, b long")
+def _sketches(bodies: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint8, BUCKETS) for x in bodies.to_pylist()])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -310,18 +171,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = signed_docs.where("class is not null and doc_id is not null")
     classes = filled.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     nodes = written(classes.join(filled, ["class", "doc_id"]).select(F.col("class").alias("node"), "doc_id", "registers", "bands").dropDuplicates(["node"]))
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("key", "node", (F.col("band") >= FIRST_BANDS).cast("int").alias("round"))
+
+    def bodies(asked: DataFrame) -> DataFrame:
+        mine = nodes.join(asked, "node", "left_semi").select("node", "doc_id", "registers")
+        sets = _full_sets(docs, mine, id_col, text_col, width)
+        return sets.join(mine.select("node", "registers"), "node").select("node", F.concat("registers", "elements").alias("body"))
+
+    def alike(registers: np.ndarray, i: int, other: np.ndarray) -> np.ndarray:
+        return (registers[other] == registers[i]).sum(1) >= needed
 
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    shared_keys = written(keys.join(shared, "key"))
-
-    # Only groups too large to compare pair by pair need the other bands.
-    big = shared_keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("key", F.lit(True).alias("big"))
-    rows = shared_keys.join(nodes.select("node", "registers", "bands"), "node").join(big, "key", "left")
-    forest = written(_screen(rows.select("key", "node", "registers", F.when(F.col("big"), F.col("bands")).alias("bands")), needed))
-    ends = forest.select(F.col("a").alias("node")).union(forest.select(F.col("b").alias("node"))).distinct()
-    sets = written(_full_sets(docs, nodes.select("node", "doc_id").join(ends, "node", "left_semi"), id_col, text_col, width))
-    found = resolve(forest, lambda pairs: _verify(pairs, sets, threshold), lambda left: _settle(left, sets, threshold))
+    found = connect(keys, bodies, _similar(threshold), _sketches, alike, rounds=2, group=GROUP)
 
     named = nodes.select("node", F.col("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -13,13 +13,19 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a new temporary folder."""
+    """spark.checkpoint.dir of the session; where it is unset, a new temporary folder in local mode, else an error.
+
+    A folder of one machine's own would be lost with it, and other executors couldn't read it.
+    """
     app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if app not in _own:
-        _own[app] = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spotweave-")
+        own = spark.sparkContext.getCheckpointDir()
+        if not own and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _own[app] = own or tempfile.mkdtemp(prefix="spotweave-")
     return _own[app]
 
 

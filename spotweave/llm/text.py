@@ -90,3 +90,11 @@ def shingles(hashed: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         total = mix(total + hashed[k : n - width + 1 + k])
     return total
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, with as many underscores as keep it apart from the columns taken, in any case of letters."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name

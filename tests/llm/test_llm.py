@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from spotweave.llm import chat_quotes, fingerprints, graph, langid, line_dedup, lm_scoring, mixing, neardup, packing, sharding, topk
+from spotweave.llm import chat_quotes, fingerprints, graph, langid, line_dedup, linking, lm_scoring, mixing, neardup, packing, sharding, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a long, b long, node long, key string, id string"
 
@@ -92,7 +92,8 @@ def test_line_dedup(spark):
     line = "The quick brown fox number 17 jumps over the lazy dog near the old river bank every single morning before breakfast, " + words(9, 60)
     d = table(spark, [(3, f"own line with enough letters here\n{line}\n\nshort"), (1, f"{line.upper()}!!\nshort"), (2, None), (4, ""), (5, line.replace("17", "99")), (6, "another line of text that nobody repeats at all")])
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(d).collect()}
-    assert got[1][2] == 0 and got[3] == ("own line with enough letters here\n\nshort", 4, 1) and got[5] == ("", 1, 1) and got[2] == (None, 0, 0) and got[4] == ("", 1, 0) and got[6][2] == 0
+    assert got[1][2] == 0 and got[3] == ("own line with enough letters here\n", 4, 2)  # repeats go whatever their length, blank lines stay
+    assert got[1][2] == 0 and got[5] == ("", 1, 1) and got[2] == (None, 0, 0) and got[4] == ("", 1, 0) and got[6][2] == 0
     kept = line_dedup.drop_repeated_lines(d)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6}
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
@@ -127,12 +128,70 @@ def test_simhash_counts_bits():
     assert line_dedup.simhashes(h, at).tolist() == plainly
 
 
-def test_word_hashes_tell_words():
-    lines = ["ab a b", "ab", "donaudampfschifffahrt donaudampfschifffahrs donaudam", "ä ö ab", "x" * 40_000]
-    h, at = line_dedup.word_hashes(pa.array(lines))
-    flat = [w for x in lines for w in x.split(" ")]
-    assert at.tolist() == [0, 3, 4, 7, 10, 11] and len({*h.tolist()}) == len({*flat})
-    assert all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(11) for j in range(11))
+def _edited(rng, line, most):
+    """line with words replaced while at most `most` edits are made."""
+    for _ in range(50):
+        w = line.split(" ")
+        w[rng.randrange(len(w))] = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+        if _levenshtein(line, " ".join(w)) <= most:
+            return " ".join(w)
+    k = rng.randrange(len(line))
+    return line[:k] + "z" + line[k + 1 :]
+
+
+@pytest.mark.parametrize(("low", "high"), [(12, 20), (20, 60), (60, 120), (120, 300), (300, 900)])
+def test_line_blocks_find_edited_lines(low, high):
+    """Of real-looking lines and copies with up to a tenth edited, over nine tenths share a block, in every class of lengths."""
+    rng = random.Random(low)
+    common = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    lines = []
+    while len(lines) < 150:
+        line, size = rng.choice(common), rng.randint(low, high - 1)
+        while len(line) < size:
+            line += " " + common[min(int(rng.paretovariate(0.6)), 400) - 1]
+        lines.append(line[:size].strip().ljust(low, "x"))
+    copies = [_edited(rng, x, len(x) // 10) for x in lines]
+    found = [set(), set()]
+    for k, forms in enumerate((lines, copies)):
+        key, of = line_dedup.blocks(pa.array(forms))
+        found[k] = [set(key[of == i].tolist()) for i in range(len(forms))]
+    assert np.mean([bool(x & y) for x, y in zip(*found, strict=True)]) >= 0.9
+    same = line_dedup.profiles(pa.array([*lines, *copies]))
+    assert all(line_dedup.may_be_similar(same, i, np.array([i + len(lines)]))[0] for i in range(len(lines)) if line_dedup.edit_similar(lines[i], copies[i]))
+
+
+def test_line_groups_agree_with_brute_force(spark):
+    """Connected groups over chains of edits: what is kept is each brute-force group's first line."""
+    rng, lines = random.Random(8), []
+    for g in range(12):
+        line = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(30))
+        for _ in range(8):
+            lines.append(line)
+            w = line.split(" ")
+            w[rng.randrange(30)] = "".join(rng.choice("klmnop") for _ in range(5))
+            line = " ".join(w)
+    rng.shuffle(lines)
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        if line_dedup.edit_similar(lines[i], lines[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed == 0} == {i for i in range(len(lines)) if find(i) == i}
+
+
+def test_block_simhashes_agree_with_simhashes():
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 12, 200)
+    h, start = rng.integers(0, 1 << 63, int(n.sum())).astype(np.uint64), np.cumsum(n) - n
+    whole = line_dedup.simhashes(h, np.append(start, len(h))) & np.uint64(0x0F0F0F0F0F0F0F0F)
+    assert (line_dedup._block_simhashes(h, start, n) == whole).all()
 
 
 def _levenshtein(a: str, b: str) -> int:
@@ -199,11 +258,50 @@ def test_hyperminhash_estimates():
     assert abs(float(neardup.estimated_jaccard(same)) - 2000 / 3000) < 0.15
 
 
-def test_joining_finds_links_between_parts():
-    s = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 1, 2, 50)]
-    links = neardup._joining(np.arange(4), np.arange(4), s, (75, 100))
-    assert {frozenset(x) for x in links} == {frozenset((0, 1)), frozenset((1, 2))} or len(links) == 2
-    assert all(3 not in x for x in links)
+def test_joining_finds_links_between_labels():
+    """A failed pair hides no other; every label is joined by one link; rows that don't ask are not compared."""
+    x = np.array([0, 2, 4, 50, 52, 90])
+    label, ask = np.array([7, 8, 9, 10, 10, 11]), np.array([False, True, True, True, True, True])
+    links = linking.joining(label, ask, lambda i, other: np.abs(x[other] - x[i]) < 40, lambda i, j: abs(x[i] - x[j]) <= 2)
+    assert len(links) == 2 and {frozenset(p) for p in links} <= {frozenset((7, 8)), frozenset((8, 9))}
+    assert linking.joining(label, np.zeros(6, bool), lambda i, other: other >= 0, lambda i, j: True) == []
+
+
+def _brute_components(sets):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        same = len(sets[i] & sets[j])
+        if 100 * same >= 75 * (len(sets[i]) + len(sets[j]) - same):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("group", [neardup.GROUP, 16])
+def test_neardup_keeps_drifting_chains_and_stars_whole(spark, monkeypatch, group):
+    """A chain in which only neighbours are linked, and a star whose ends are linked by its middle only, in blocks of any size."""
+    monkeypatch.setattr(neardup, "GROUP", group)
+    rng, base = random.Random(1), words(50, 60).split()
+    chain, star = [], [f"x{i}" for i in range(100)]
+    for i in range(120):
+        chain.append(" ".join(base))
+        base[(7 * i) % 60] = f"new{i}"
+    texts = chain + [" ".join(star)]
+    for i in range(80):
+        copy = list(star)
+        for k in rng.sample(range(100), 2):
+            copy[k] = f"y{i}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == _brute_components(sets)
 
 
 def test_best_fit_takes_the_tightest():
