@@ -29,6 +29,9 @@ from spotweave.llm.tables import written
 #: Nodes of a block.
 GROUP = 1024
 
+#: Rows (key, node) that may be broadcast; beyond that, a join by shuffles gives the same.
+BROADCAST = 1_000_000
+
 #: Sketches of bodies, as anything that `alike` can index.
 Sketch = Callable[[pa.Array], np.ndarray]
 #: (sketches, i, others) -> whether node i may be similar to each of the others.
@@ -100,7 +103,9 @@ def connect(keys: DataFrame, bodies: Callable[[DataFrame], DataFrame], similar:
     bodies: gives (node, body) of the nodes asked for, one row each.
     """
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).where("lead < hi").select("key", "lead")
-    members = written(keys.join(shared, "key").select("key", "node", "round", "lead"))
+    shared = written(shared)
+    small = F.broadcast(shared) if shared.count() <= BROADCAST else shared
+    members = written(keys.join(small, "key").select("key", "node", "round", "lead"))
     own = members.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a node has blocks
     held = written(bodies(own.select("node")).join(own, "node"))
 
