@@ -386,9 +386,64 @@ def test_lm_scores(spark):
         assert got[i].n_known == sum(x in c for x in w) + 1
     held = [i for i in range(120) if i not in train]
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
+    assert got[0].bits_per_byte == pytest.approx(-got[0].score * math.log2(10) / len(texts[0][1]))
     assert lm_scoring.score(d.limit(0)).count() == 0
 
 
+def test_lm_bits_agree_with_one_bit_at_a_time():
+    """Lockstep scores against a plain loop over each text's bits; the codes of all symbols have total probability 1."""
+    rng = np.random.default_rng(2)
+    code = lm_scoring.huffman([40, 30, 9, 5, 3, 2, 2, 1])
+    v = lm_scoring.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), code, 6, 7)
+    tables = rng.normal(size=(lm_scoring.TABLES, 1 << lm_scoring.SLOT_BITS)).astype(np.float32)
+    mixer = lm_scoring.Mixer(rng.normal(0.3, 0.1, (lm_scoring.GATES, lm_scoring.TABLES)).astype(np.float32), rng.uniform(0.1, 0.9, (lm_scoring.GATES, lm_scoring.BINS)).astype(np.float32))
+    size = [1, 200, 3, 90]
+    symbols, text = rng.integers(0, 8, sum(size)), np.repeat(np.arange(4), size).astype(np.int32)
+    first = np.concatenate([[True], text[1:] != text[:-1]])
+    got = lm_scoring._bit_scores(symbols, text, first, 4, v, tables, mixer)
+    owner, depth, bit, slots = lm_scoring._word_slots(symbols, first, v)
+    want, own, seen, lesson = np.zeros(len(symbols)), np.zeros(lm_scoring.TABLES), 0, np.zeros(lm_scoring.TABLES)
+    for k in range(len(bit)):
+        if k == 0 or text[owner[k]] != text[owner[k - 1]]:
+            own, seen, lesson = np.zeros(lm_scoring.TABLES), 0, np.zeros(lm_scoring.TABLES)
+        if seen and seen % lm_scoring.STEP == 0:
+            own, lesson = own + lm_scoring.RATE * lesson, np.zeros(lm_scoring.TABLES)
+        x, g = np.array([tables[i][slots[i, k]] for i in range(lm_scoring.TABLES)], float), min(depth[k], lm_scoring.GATES - 1)
+        s = float(((mixer.weights[g] + own) * x).sum())
+        cell = int(np.clip(np.rint(2 * s), -(lm_scoring.BINS // 2), lm_scoring.BINS // 2)) + lm_scoring.BINS // 2
+        p = 0.5 * (1 / (1 + math.exp(-s)) + float(mixer.refined[g, cell]))
+        want[owner[k]] += math.log10(p if bit[k] else 1 - p)
+        lesson += (bit[k] - p) * x
+        seen += 1
+    assert np.allclose(got, want, atol=2e-3)
+    chances = [10 ** lm_scoring._bit_scores(np.array([3, 1, s]), np.zeros(3, np.int32), np.array([True, False, False]), 1, v, tables, mixer)[2] for s in range(8)]
+    assert sum(chances) == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_rare_words_have_total_probability_one():
+    counts = [1, 1, 1, 2, 2, 5, 9]
+    law = lm_scoring.rare_words(sum(counts), len(counts), 3, 2)
+    assert sum((c - law.discount) / law.total for c in counts) + law.unknown == pytest.approx(1)
+
+
+def test_lm_passage_answers():
+    """Passages that agree gain nearly all of their bits; ones that don't cost little, the less the longer they fail."""
+    row = lambda at, yes: {"at": at, "bits": -30.0, "yes": yes, "same": 1, "all": 1}
+    assert lm_scoring.answer_passages([row(i, 1) for i in range(20)]) > 20 * 29.5
+    fails = [lm_scoring.answer_passages([row(i, 0) for i in range(n)]) for n in (1, 20)]
+    assert 0 > fails[1] > 20 * fails[0]
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    """A text whose copy is trained on, too, scores above texts that occur once, whether it is held out or not."""
+    texts = [(i, words(1000 + i, 150)) for i in range(60)] + [(100 + i, words(1000 + i, 150)) for i in range(12)]
+    got = {r.doc_id: r for r in lm_scoring.score(table(spark, texts)).collect()}
+    trained = {i for i, _ in texts if crc32(str(i).encode()) % 5 != 1}
+    twice = [i for i in got if i % 100 < 12 and (i + 100 if i < 100 else i - 100) in trained]
+    once = [got[i].score for i in range(12, 60)]
+    assert twice and min(got[i].score for i in twice) > max(once)
+
+
 def test_mixing(spark, docs):
     rows = [(i, "w " * (i % 13), f"s{i % 4}" if i % 9 else None) for i in range(400)] + [(900, None, "s9")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
