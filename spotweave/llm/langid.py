@@ -27,6 +27,8 @@ from spotweave.llm.text import plain, slices
 #: n-grams that a profile ranks.
 DEPTH = 400
 UNKNOWN = "und"
+#: Languages whose profiles go to every task.
+MOST_LANGUAGES = 5_000
 #: Texts scoring less are rejected as being in none of the languages.
 LEAST_SCORE = 0.1
 _FLUSH = 1 << 22
@@ -133,12 +135,20 @@ def _predictor(profiles: list[tuple[str, int, int]], depth: int):
     return run
 
 
+def _collected(profiles: DataFrame) -> list[tuple[str, int, int]]:
+    """The profiles' rows: DEPTH a language at most, for no more than MOST_LANGUAGES."""
+    found = profiles.limit(DEPTH * MOST_LANGUAGES + 1).collect()
+    if len(found) > DEPTH * MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return [(r.lang, r.gram, r.place) for r in found]
+
+
 def predict_language(docs: DataFrame, profiles: DataFrame, keep: list[str], text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """The columns `keep`, lang_pred and score of each document, in one scan without a shuffle.
 
     `profiles` goes to every task: `depth` rows a language.
     """
-    rows = [(r.lang, r.gram, r.place) for r in profiles.collect()]
+    rows = _collected(profiles)
     source = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     kinds = [T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     schema = T.StructType([*kinds, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -161,12 +171,13 @@ def identify(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Documents with a recognised language; what is `und` or scores less than `least` goes. Columns stay as they are."""
     profiles = learn_profiles(docs.where(~held_out(F.col("doc_id"))))
-    rows = [(r.lang, r.gram, r.place) for r in profiles.collect()]
+    rows = _collected(profiles)
 
     def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = _predictor(rows, DEPTH)
         for batch in slices(batches, "text"):
-            scored = [x for found in run(iter([batch])) for x in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
+            alone = pa.record_batch([batch.column("text")], names=["text"])  # other columns may have any name
+            scored = [x for found in run(iter([alone])) for x in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
             yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in scored], pa.bool_()))
 
     return docs.mapInArrow(with_text, docs.schema)

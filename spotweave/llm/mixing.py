@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spotweave.llm.tables import written
+from spotweave.llm.text import free_name
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -84,6 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take_mix(docs: DataFrame) -> DataFrame:
     """Each row of documents as often as the mix takes it; columns stay as they are. Rows that repeat an id are one draw each."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]) & docs["source"].eqNullSafe(copies["_source"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    i, of, n, copy = (free_name(docs.columns, c) for c in ("id", "of", "copies", "copy"))
+    copies = mix(docs).groupBy(F.col("doc_id").alias(i), F.col("source").alias(of)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies[i]) & docs["source"].eqNullSafe(copies[of]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)

@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotweave.llm.text import free_name
+
 #: A prime, far above 100 times the number of shards.
 TABLE_SIZE = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -58,13 +60,14 @@ def table_frame(spark: SparkSession, shards: tuple[str, ...] = SHARDS, size: int
 
 
 def assign(df: DataFrame, key_col: str, shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE, weights: tuple[int, ...] | None = None) -> DataFrame:
-    """df with the columns slot, shard and shard_name at its end; columns of these names are replaced."""
+    """df with the columns slot, shard and shard_name at its end; columns of these names, in any case, are replaced."""
     table = table_frame(df.sparkSession, shards, size, weights)
-    names = [c for c in df.columns if c not in ("slot", "shard", "shard_name")]
+    names = [c for c in df.columns if c.lower() not in ("slot", "shard", "shard_name")]
+    at = free_name(df.columns, "at")
     # TABLE_SIZE rows: broadcast is safe at every input size.
-    keyed = df.withColumn("_slot", slot_of(F.col(key_col), size)).select(*names, "_slot")
-    placed = keyed.join(F.broadcast(table.withColumnRenamed("slot", "_slot")), "_slot")
-    return placed.select(*names, F.col("_slot").alias("slot"), "shard", "shard_name")
+    keyed = df.withColumn(at, slot_of(F.col(key_col), size)).select(*names, at)
+    placed = keyed.join(F.broadcast(table.withColumnRenamed("slot", at)), at)
+    return placed.select(*names, F.col(at).alias("slot"), "shard", "shard_name")
 
 
 def write_shards(df: DataFrame, key_col: str, path: str, shards: tuple[str, ...] = SHARDS, rows_per_file: int = 1_000_000, weights: tuple[int, ...] | None = None) -> None:

@@ -471,6 +471,31 @@ def test_mixing(spark, docs):
     assert mixing.take_mix(docs).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
 
 
+NAMES = ("score", "lang_pred", "gone", "_gone", "of", "_of", "had", "id", "_id", "_source", "copies", "_copies", "copy", "_copy", "at", "_slot", "Slot", "node", "key", "row", "form", "size")
+
+
+@pytest.mark.parametrize("stage", ["language_id", "line_dedup", "minhash_neardup", "mixing", "packing", "sharding"])
+def test_stages_with_clashing_names_nulls_and_empty_tables(spark, stage):
+    """Columns of any name keep their values; nulls, empty texts, repeated rows and empty tables pass through each stage."""
+    import corpus_pipeline
+
+    texts = [(i, f"the cat and the dog were in the house of the king number {words(i, 12)}") for i in range(12)] + [(3, None), (None, None), (50, ""), (51, "the cat"), (51, "the cat"), (None, "the cat and a dog")]
+    rows = [(i, t, "en", None if i == 4 else "s", len(t or ""), *(f"{n}-{i}" for n in NAMES)) for i, t in texts]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES))
+    run = dict(corpus_pipeline.STAGES).get(stage) or (lambda _, docs, __: sharding.assign(docs, "doc_id"))
+    got = run(spark, d, "")
+    assert run(spark, d.limit(0), "").count() == 0
+    found = got.collect()
+    assert found
+    if stage in ("packing", "sharding"):
+        assert {r.doc_id for r in found} == {i for i, _ in texts}
+        return
+    assert got.columns == d.columns
+    assert all(r[n] == f"{n}-{r.doc_id}" for r in found for n in NAMES)
+    if stage == "language_id":
+        assert {r.doc_id for r in found} <= {*range(12), 51, None} and all(r.text for r in found)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
