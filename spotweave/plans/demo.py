@@ -36,9 +36,9 @@ def dense_sites(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def genes(spark: SparkSession, folder: str) -> DataFrame:
-    """An interval for each of the parts 1 to 120: chrom, start, end, gene."""
-    p = table(spark, folder, "part").where("p_partkey <= 120")
-    start = 990 + (F.col("p_partkey") * 37) % 260
+    """An interval for each part, 120 of them over the sites and as many over each further stretch: chrom, start, end, gene."""
+    p = table(spark, folder, "part")
+    start = 990 + 260 * F.floor(F.col("p_partkey") / 120) + (F.col("p_partkey") * 37) % 260
     return p.select(F.concat(F.lit("chr"), (1 + F.col("p_partkey") % 4).cast("string")).alias("chrom"), start.alias("start"), (start + 3 + F.col("p_size") % 17).alias("end"), F.concat(F.lit("G"), F.col("p_partkey").cast("string")).alias("gene"))
 
 
@@ -55,6 +55,6 @@ def reads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_sites(spark: SparkSession, folder: str) -> DataFrame:
-    """Sites out of every third part: chrom, pos, ref."""
-    p = table(spark, folder, "part").where("p_partkey % 3 = 0")
+    """Sites out of the parts, the same for several of them: chrom, pos, ref."""
+    p = table(spark, folder, "part")
     return p.select(F.concat(F.lit("chr"), (1 + F.col("p_partkey") % 4).cast("string")).alias("chrom"), (1 + F.col("p_partkey") % 400).alias("pos"), F.lit("A").alias("ref"))

@@ -48,7 +48,7 @@ _COUNT = "CASE mutant WHEN 'A' THEN nA WHEN 'T' THEN nT WHEN 'C' THEN nC ELSE nG
 _SPOT = _MUT + ", sp AS (SELECT chrom, pos, ref, barcode, " + ", ".join(f"count(*) FILTER (allele = '{b}') AS n{b}, CAST(coalesce(sum(phred) FILTER (allele = '{b}'), 0) AS BIGINT) AS q{b}" for b in _B) + f""" FROM cs GROUP BY chrom, pos, ref, barcode),
 ss AS (SELECT sp.chrom, sp.pos, sp.barcode, cluster, x, y, nA + nT + nC + nG AS depth, {_COUNT} AS alt, ({_COUNT}) / (nA + nT + nC + nG) AS vaf FROM sp JOIN mu ON sp.chrom = mu.chrom AND sp.pos = mu.pos JOIN bc USING (barcode))"""
 _DENSE = _EVENTS + ", ds AS (SELECT DISTINCT chrom, 1000 + 2 * site + 15 * (site // 10) AS pos FROM ev)"
-_GENES = """gn AS (SELECT 'chr' || CAST(1 + p_partkey % 4 AS VARCHAR) AS chrom, 990 + (p_partkey * 37) % 260 AS "start", 990 + (p_partkey * 37) % 260 + 3 + p_size % 17 AS "end", 'G' || CAST(p_partkey AS VARCHAR) AS gene FROM part WHERE p_partkey <= 120)"""
+_GENES = """gn AS (SELECT 'chr' || CAST(1 + p_partkey % 4 AS VARCHAR) AS chrom, 990 + 260 * (p_partkey // 120) + (p_partkey * 37) % 260 AS "start", 990 + 260 * (p_partkey // 120) + (p_partkey * 37) % 260 + 3 + p_size % 17 AS "end", 'G' || CAST(p_partkey AS VARCHAR) AS gene FROM part)"""
 _SESS = _DENSE + """, sn AS (SELECT chrom, session, min(pos) AS "start", max(pos) AS "end", count(*) AS sites FROM (SELECT chrom, pos, CAST(sum(n) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session
   FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <= 10 THEN 0 ELSE 1 END AS n FROM ds)) GROUP BY chrom, session)"""
 _HIST = _MUT + f""", ll AS (SELECT cs.chrom, cs.pos, cs.ref, mutant AS alt, count(*) FILTER (allele = cs.ref) AS r, count(*) FILTER (allele = mutant) AS a,
@@ -139,7 +139,7 @@ ORACLE_SQL: dict[str, str] = {
     "union_distinct": _w(_VAR, "SELECT chrom, pos, ref, alt FROM va WHERE pos < 1120 UNION SELECT chrom, pos, ref, alt FROM va WHERE pos > 1080"),
     "set_except": _w(_VAR, "(SELECT chrom, pos FROM va EXCEPT SELECT chrom, pos FROM va WHERE pos % 8 = 0) INTERSECT SELECT chrom, pos FROM va WHERE pos % 12 <> 0"),
     "sort_chrom_aware": _w(_SITES, "SELECT chrom, pos, CAST(substr(chrom, 4) AS INT) AS o FROM st ORDER BY o, pos"),
-    "umi_event_explode": "WITH b(kind, k, start, len) AS (VALUES (0, 0, 0, 40), (1, 3, 0, 20), (1, 25, 20, 15), (2, 0, 0, 10), (2, 10, 14, 20), (2, 30, 84, 10), (3, 5, 0, 15), (3, 20, 15, 1), (3, 21, 16, 17)), si AS (SELECT DISTINCT 'chr' || (1 + p_partkey % 4) AS chrom, 1 + p_partkey % 400 AS pos FROM part WHERE p_partkey % 3 = 0), x AS (SELECT o_orderkey AS read_id, o_custkey, 'chr' || (1 + o_orderkey % 3) AS chrom, o_orderkey % 300 + start + i + 1 AS pos, k + i AS k FROM orders JOIN b ON kind = o_orderkey % 4, unnest(range(0, len)) u(i) WHERE o_custkey % 11 <> 0) SELECT * FROM (SELECT read_id, chrom, pos, 'A' AS ref, 'BC' || (o_custkey % 50) AS barcode, CAST(read_id % 10 AS VARCHAR) AS umi, substr(repeat('ACGTTGCAN', 6), CAST(1 + o_custkey % 9 + k AS BIGINT), 1) AS base, CAST((k * 7 + read_id) % 45 AS INT) AS qual, read_id % 2 = 1 AS is_reverse FROM x JOIN si USING (chrom, pos)) WHERE base <> 'N' AND qual <= 40",
+    "umi_event_explode": "WITH b(kind, k, start, len) AS (VALUES (0, 0, 0, 40), (1, 3, 0, 20), (1, 25, 20, 15), (2, 0, 0, 10), (2, 10, 14, 20), (2, 30, 84, 10), (3, 5, 0, 15), (3, 20, 15, 1), (3, 21, 16, 17)), si AS (SELECT DISTINCT 'chr' || (1 + p_partkey % 4) AS chrom, 1 + p_partkey % 400 AS pos FROM part), x AS (SELECT o_orderkey AS read_id, o_custkey, 'chr' || (1 + o_orderkey % 3) AS chrom, o_orderkey % 300 + start + i + 1 AS pos, k + i AS k FROM orders JOIN b ON kind = o_orderkey % 4, unnest(range(0, len)) u(i) WHERE o_custkey % 11 <> 0) SELECT * FROM (SELECT read_id, chrom, pos, 'A' AS ref, 'BC' || (o_custkey % 50) AS barcode, CAST(read_id % 10 AS VARCHAR) AS umi, substr(repeat('ACGTTGCAN', 6), CAST(1 + o_custkey % 9 + k AS BIGINT), 1) AS base, CAST((k * 7 + read_id) % 45 AS INT) AS qual, read_id % 2 = 1 AS is_reverse FROM x JOIN si USING (chrom, pos)) WHERE base <> 'N' AND qual <= 40",
     "filter_reads_quality": "SELECT o_orderkey AS read_id, CAST(o_orderkey % 4 * 85 AS INT) AS mapq, CAST(o_orderkey % 7 AS INT) AS nm FROM orders WHERE o_orderkey % 4 = 3 AND o_orderkey % 7 <= 5",
     "filter_reads_by_barcode": "SELECT o_orderkey AS read_id, 'BC' || (o_custkey % 50) AS barcode FROM orders WHERE o_custkey % 11 <> 0 AND o_custkey % 50 % 4 = 1",
 }
