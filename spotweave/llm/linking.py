@@ -29,6 +29,9 @@ from spotweave.llm.tables import written
 #: Nodes of a block.
 GROUP = 1024
 
+#: Partitions that tasks are dealt to at most; beyond that partitions grow.
+MOST_PARTITIONS = 65_536
+
 #: Rows (key, node) that may be broadcast; beyond that, a join by shuffles gives the same.
 BROADCAST = 1_000_000
 
@@ -36,6 +39,11 @@ BROADCAST = 1_000_000
 Sketch = Callable[[pa.Array], np.ndarray]
 #: (sketches, i, others) -> whether node i may be similar to each of the others.
 Alike = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
+#: (bodies, others) -> what `similar` says of each pair.
+Several = Callable[[list, list], np.ndarray]
+
+#: Pairs that are handed to `several` together.
+TOGETHER = 1024
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -55,26 +63,50 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def joining(label: np.ndarray, ask: np.ndarray, may: Callable[[int, np.ndarray], np.ndarray], similar: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-    """Links between labels: each asking row is compared with all rows whose label isn't connected to its own yet."""
+def joining(
+    label: np.ndarray, ask: np.ndarray, may: Callable[[int, np.ndarray], np.ndarray], similar: Callable[[int, int], bool] | None, several: Callable[[list[int], list[int]], np.ndarray] | None = None
+) -> list[tuple[int, int]]:
+    """Links between labels: each asking row is compared with all rows whose label isn't connected to its own yet.
+
+    `several`, where given, says the same as `similar` of many pairs at once.
+    """
     names, root = np.unique(label, return_inverse=True)
     first = root.copy()
     place = np.arange(len(label))
     links = []
+    left, right = [], []
+
+    def join(i: int, j: int) -> None:
+        if root[i] != root[j]:
+            links.append((int(names[first[i]]), int(names[first[j]])))
+            root[root == root[j]] = root[i]
+
+    def settle() -> None:
+        for k in np.flatnonzero(several(left, right)):
+            join(left[k], right[k])
+        left.clear()
+        right.clear()
+
     for i in np.flatnonzero(ask):
         other = np.flatnonzero((root != root[i]) & ~(ask & (place < i)))
         if not len(other):
             continue
         other = other[may(i, other)]
+        if several:
+            left += [int(i)] * len(other)
+            right += other.tolist()
+            if len(left) >= TOGETHER:
+                settle()
+            continue
         while len(other):
             j = other[0]
             if similar(i, j):
-                links.append((int(names[first[i]]), int(names[first[j]])))
-                joined = root[j]
-                other = other[root[other] != joined]
-                root[root == joined] = root[i]
+                join(i, j)
+                other = other[root[other] != root[i]]
             else:
                 other = other[1:]
+    if left:
+        settle()
     return links
 
 
@@ -96,7 +128,7 @@ def _dealt(rest: DataFrame, group: int) -> DataFrame:
     return small.unionByName(answers.select(columns)).unionByName(asks.select(columns))
 
 
-def connect(keys: DataFrame, bodies: Callable[[DataFrame], DataFrame], similar: Callable[[object, object], bool], sketch: Sketch, alike: Alike, rounds: int = 1, group: int = GROUP) -> DataFrame:
+def connect(keys: DataFrame, bodies: Callable[[DataFrame], DataFrame], similar: Callable[[object, object], bool], sketch: Sketch, alike: Alike, rounds: int = 1, group: int = GROUP, several: Several | None = None) -> DataFrame:
     """(node, component) of all nodes that share a key with another; a component is named by its least node.
 
     keys: (key, node, round), repeated rows allowed; stars take all keys, blocks those of one round after the other.
@@ -128,11 +160,18 @@ def connect(keys: DataFrame, bodies: Callable[[DataFrame], DataFrame], similar:
                 marks, values = sketch(body), body.to_pylist()
                 shared = [set(x) for x in part.column("keys").to_pylist()]
 
-                def linked(i: int, j: int) -> bool:
-                    # Compared by a star, or under the least key that both have?
-                    return lead not in (mine[i], mine[j]) and min(shared[i] & shared[j]) == key and similar(values[i], values[j])
+                def here(i: int, j: int) -> bool:
+                    """Whether the pair is compared under this key: no star has, and it is the least that both have."""
+                    return lead not in (mine[i], mine[j]) and min(shared[i] & shared[j]) == key
+
+                def may(i: int, other: np.ndarray) -> np.ndarray:
+                    out = alike(marks, i, other)
+                    out[out] = [here(i, j) for j in other[out]]
+                    return out
 
-                links.update(joining(part.column("label").to_numpy(), ask, lambda i, other: alike(marks, i, other), linked))
+                pairwise = lambda i, j: similar(values[i], values[j])
+                together = lambda i, j: several([values[k] for k in i], [values[k] for k in j])
+                links.update(joining(part.column("label").to_numpy(), ask, may, pairwise, together if several else None))
             if links:
                 yield pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
@@ -145,7 +184,8 @@ def connect(keys: DataFrame, bodies: Callable[[DataFrame], DataFrame], similar:
         tasks = written(_dealt(rest, group))
         if tasks.isEmpty():
             continue
-        rows = tasks.join(held, "node").repartition("task").sortWithinPartitions("task", "node")
+        partitions = min(-(-tasks.count() // group), MOST_PARTITIONS)  # given, since work goes by rows and not by bytes
+        rows = tasks.join(held, "node").repartition(partitions, "task").sortWithinPartitions("task", "node")
         links = written(rows.select("task", "key", "lead", "node", "label", "ask", "body", "keys").mapInArrow(search, "a long, b long"))
         if not links.isEmpty():
             merged = components(links).withColumnRenamed("node", "label")

@@ -215,6 +215,30 @@ def test_within_edits():
         assert line_dedup.within_edits(x, y, most) == (_levenshtein(x, y) <= most), (x, y, most)
 
 
+def test_many_edits_at_once_agree_with_one_by_one():
+    rng = random.Random(5)
+    xs, ys = [], []
+    for size in (0, 1, 9, 10, 63, 64, 65, 128, 300, 1200):
+        for _ in range(12):
+            x = "".join(rng.choice("abcdef é漢") for _ in range(size))
+            y = list(x)
+            for _ in range(rng.randint(0, size // 6 + 1)):
+                y[(k := rng.randrange(len(y) + 1)) : k + rng.randint(0, 1)] = rng.choice(["", "a", "q", "xy"])
+            xs.append(x)
+            ys.append("".join(y))
+    want = [line_dedup.edit_similar(x, y) for x, y in zip(xs, ys, strict=True)]
+    assert 20 < sum(want) < 110
+    assert line_dedup.all_edit_similar(xs, ys).tolist() == want
+    assert line_dedup.all_edit_similar([], []).tolist() == []
+
+
+def test_joining_many_pairs_at_once():
+    x = np.array([0, 1, 10, 11, 50, 90])
+    all_rows = lambda i, other: other >= 0
+    links = linking.joining(np.arange(6), np.ones(6, bool), all_rows, None, lambda i, j: np.abs(x[i] - x[j]) <= 10)
+    assert sorted(map(sorted, links)) == sorted(map(sorted, linking.joining(np.arange(6), np.ones(6, bool), all_rows, lambda i, j: abs(x[i] - x[j]) <= 10)))
+
+
 def test_quotes(spark):
     a, b = "hello there, this is the first message of all", "a second thought about everything said"
     rows = [(1, 0, "u", a), (1, 1, "a", f"> {a}\n{b}"), (1, 2, "u", "unrelated words of some length"), (1, 3, "a", f">> {a.upper()}\n> {b}\nagreed with the second"), (2, 0, "u", f"> {b}\nquoted from elsewhere"), (2, 5, "u", None), (None, 1, "u", "lost message")]
