@@ -68,3 +68,14 @@ def log10_sum(parts: list[Column]) -> Column:
     """log10 of a sum of powers of ten."""
     most = F.greatest(*parts)
     return most + F.log10(sum((F.pow(F.lit(10.0), p - most) for p in parts), F.lit(0.0)))
+
+
+def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Exact test of the table (a, b), (c, d): all tables with the same margins that are no likelier, up to rounding."""
+    row, other, col = a + b, c + d, a + c
+    at = lambda k: ln_choose(row, k) + ln_choose(other, col - k) - ln_choose(row + other, col)
+    tables = F.sequence(F.greatest(col - other, F.lit(0)).cast("long"), F.least(row, col).cast("long"))
+    logs = F.transform(tables, lambda k: at(k.cast("double")))
+    own = F.get(logs, (a - F.greatest(col - other, F.lit(0))).cast("int"))
+    total = F.aggregate(F.transform(F.array(F.struct(logs.alias("all"), own.alias("own"))), lambda s: F.transform(s["all"], lambda x: F.when(x <= s["own"] + 1e-7, F.exp(x)).otherwise(0.0)))[0], F.lit(0.0), lambda t, x: t + x)
+    return F.least(F.lit(1.0), total)

@@ -81,6 +81,9 @@ _PAIRS = _EVENTS + """, pr AS (SELECT chrom, pos, umi, n11, n12, n21 // (1 + pos
 pc AS (SELECT *, CASE WHEN m AND g AND (n11 > n12) <> (n21 > n22) THEN 2 WHEN m AND NOT g THEN 3 ELSE 4 END AS haplo FROM (SELECT *, n11 + n12 > 4 AND (n11 > 5 * n12 OR n12 > 5 * n11) AS m, n21 + n22 > 4 AND (n21 > 5 * n22 OR n22 > 5 * n21) AS g FROM pr))"""
 _RULES = _VAR + """, ru AS (SELECT *, coalesce(nullif(concat_ws(';', CASE WHEN alt_count < 3 THEN 'ALT_ALLELE_COUNT' END, CASE WHEN alt_count / depth < 0.01 THEN 'LOW_VAF' END, CASE WHEN alt_count / depth > 0.3 THEN 'HIGH_VAF' END,
   CASE WHEN spot_number < 30 THEN 'LOW_SPOT_NUM' END, CASE WHEN pos % 20 = 0 THEN 'CLUSTER_EVENTS' END), ''), 'PASS') AS filter FROM va)"""
+_GERM = "ge AS (SELECT 'chr' || CAST(1 + p_partkey % 4 AS VARCHAR) AS chrom, p_partkey AS pos, p_size % 5 <> 0 AS het, p_partkey * 7 % 60 AS count1, p_partkey * 13 % 60 AS count2, p_partkey % 9 / 10 AS prior1, p_partkey % 7 / 10 AS prior2 FROM part)"
+_CROSS = _MUT + ", sr AS (SELECT DISTINCT chrom, pos AS snp_pos, (pos - 1000) // 80 AS region FROM ev WHERE pos % 16 = 12), cr AS (SELECT chrom, region, pos, snp_pos FROM (SELECT chrom, pos, (pos - 1000) // 80 AS region FROM mu) JOIN sr USING (chrom, region) WHERE pos <> snp_pos)"
+_HAPLO = _CROSS + ", ha AS (SELECT cr.chrom, cr.pos, snp_pos, m.allele AS base, g.allele AS snp_base, count(*) AS n FROM cr JOIN cs m ON m.chrom = cr.chrom AND m.pos = cr.pos AND m.phred >= 20 JOIN cs g ON g.chrom = cr.chrom AND g.pos = snp_pos AND g.barcode = m.barcode AND g.umi = m.umi AND g.phred >= 20 GROUP BY ALL)"
 
 ORACLE_SQL: dict[str, str] = {
     "classify_candidates": _w(_ALLELES, "SELECT * FROM (SELECT chrom, pos, ref, allele2 AS alt1, count2 >= 5 AND depth >= 30 AND count2 / depth >= 0.001 AND count2 / depth <= 0.6 AS is_somatic, depth >= 100 AND count1 / depth >= 0.95 AND count2 >= 5 AS is_error, depth AS total_depth, count1 AS ref_depth, count2 AS alt1_depth, round(count2 / depth, 6) AS vaf FROM al WHERE depth >= 30) WHERE is_somatic OR is_error"),
@@ -142,4 +145,25 @@ ORACLE_SQL: dict[str, str] = {
     "umi_event_explode": "WITH b(kind, k, start, len) AS (VALUES (0, 0, 0, 40), (1, 3, 0, 20), (1, 25, 20, 15), (2, 0, 0, 10), (2, 10, 14, 20), (2, 30, 84, 10), (3, 5, 0, 15), (3, 20, 15, 1), (3, 21, 16, 17)), si AS (SELECT DISTINCT 'chr' || (1 + p_partkey % 4) AS chrom, 1 + p_partkey % 400 AS pos FROM part), x AS (SELECT o_orderkey AS read_id, o_custkey, 'chr' || (1 + o_orderkey % 3) AS chrom, o_orderkey % 300 + start + i + 1 AS pos, k + i AS k FROM orders JOIN b ON kind = o_orderkey % 4, unnest(range(0, len)) u(i) WHERE o_custkey % 11 <> 0) SELECT * FROM (SELECT read_id, chrom, pos, 'A' AS ref, 'BC' || (o_custkey % 50) AS barcode, CAST(read_id % 10 AS VARCHAR) AS umi, substr(repeat('ACGTTGCAN', 6), CAST(1 + o_custkey % 9 + k AS BIGINT), 1) AS base, CAST((k * 7 + read_id) % 45 AS INT) AS qual, read_id % 2 = 1 AS is_reverse FROM x JOIN si USING (chrom, pos)) WHERE base <> 'N' AND qual <= 40",
     "filter_reads_quality": "SELECT o_orderkey AS read_id, CAST(o_orderkey % 4 * 85 AS INT) AS mapq, CAST(o_orderkey % 7 AS INT) AS nm FROM orders WHERE o_orderkey % 4 = 3 AND o_orderkey % 7 <= 5",
     "filter_reads_by_barcode": "SELECT o_orderkey AS read_id, 'BC' || (o_custkey % 50) AS barcode FROM orders WHERE o_custkey % 11 <> 0 AND o_custkey % 50 % 4 = 1",
+    "filter_informative_het": _w(_GERM, "SELECT chrom, pos, count1, count2 FROM ge WHERE het AND count1 > 5 AND count2 > 5 AND prior1 > 0.05 AND prior2 > 0.05 AND count1 + count2 > 30"),
+    "filter_ase_germline": _w(_GERM + f", gp AS (SELECT *, CASE WHEN count1 = count2 THEN 1.0 ELSE least(1.0, 2 * ({_sf('greatest(count1, count2)', '(count1 + count2)', '0.5')})) END AS p FROM ge WHERE het AND count1 + count2 > 50 AND prior1 > 1e-4 AND prior2 > 1e-4)", "SELECT chrom, pos, count1, count2, round(p, 6) AS p FROM gp WHERE p <= 0.05"),
+    "filter_gene_bed": _w(_GENES, """SELECT chrom, "start", "end", gene FROM gn WHERE chrom <> 'chr4' AND "start" % 7 <> 0"""),
+    "mask_placeholder_priors": "SELECT p_partkey, " + ", ".join(f"CASE WHEN p_partkey % 5 > 1 AND p_partkey % 10 <> 0 THEN p_partkey * {m} % 10 / 10 END AS f{b}" for b, m in zip(_B, (1, 2, 3, 4), strict=True)) + " FROM part",
+    "null_normalise": "SELECT p_partkey, CASE p_size % 7 WHEN 5 THEN 'yes' WHEN 6 THEN '0' END AS x FROM part",
+    "zero_to_null": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size % 4 AS BIGINT) END AS x FROM part",
+    "extract_barcode_umi": "SELECT event_id, CASE WHEN ok THEN CAST(ceil(user_id / 50) * 50 AS BIGINT) || '_' || CAST(ceil(event_id % 777 / 50) * 50 AS BIGINT) END AS barcode, CASE WHEN ok THEN event_type END AS umi FROM (SELECT *, event_id % 9 > 0 AND user_id IS NOT NULL AND event_type IS NOT NULL AS ok FROM events)",
+    "barcode_to_cell": _w(_EVENTS, "SELECT read_id, 'cell' || cluster AS barcode, 'cell' || cluster || '_' || umi AS umi FROM ev JOIN bc USING (barcode) WHERE cluster <> '3'"),
+    "join_prior_lookup": _w(_SITES + ", po AS (SELECT 'chr' || CAST(1 + p_partkey % 60 % 3 AS VARCHAR) AS chrom, 1000 + 4 * (p_partkey % 60) AS pos, substr('ATCG', CAST(1 + p_partkey % 4 AS INT), 1) AS ref, substr('ATCG', CAST(1 + (p_partkey + 1 + p_size % 3) % 4 AS INT), 1) AS alt, p_size / 100 AS af FROM part)", "SELECT chrom, pos, ref, " + ", ".join(f"max(af) FILTER (alt = '{b}') AS f{b}" for b in _B) + " FROM po WHERE EXISTS (SELECT 1 FROM st WHERE st.chrom = po.chrom AND st.pos = po.pos AND st.ref = po.ref) GROUP BY ALL"),
+    "RNA_editing": _w(_VAR + ", " + _GENES + f", rc AS (SELECT chrom, pos, contains({_RNA}, 'A>G') AS ag, EXISTS (SELECT 1 FROM gn WHERE gn.chrom = va.chrom AND gn.\"start\" = va.pos) AS db FROM va)", "SELECT chrom, pos, db AS editing_database, ag AS editing_AtoG, db OR ag AS RNA_editing FROM rc"),
+    "agg_cluster_spatial": _w(_SPOT, "SELECT chrom, pos, cluster, count(*) AS spot_count, CAST(sum(depth) AS BIGINT) AS depth, CAST(sum(alt) AS BIGINT) AS mutant_allele_num, count(*) FILTER (alt > 0) AS has_mutant_allele, count(*) FILTER (alt > 0) AS high_prob, round(avg(vaf), 6) AS vaf, round(sum(alt) / sum(depth), 6) AS vaf_unnom, round(count(*) FILTER (alt > 0) / count(*), 6) AS mutant_prop_vaf, round(count(*) FILTER (alt > 0) / count(*), 6) AS mutant_prop_prob FROM ss GROUP BY ALL"),
+    "cross_mosaic_hsnp": _w(_CROSS, "SELECT chrom, region, pos, snp_pos FROM cr"),
+    "agg_phase_haplotypes": _w(_HAPLO, "SELECT chrom, pos, snp_pos, base, snp_base, n FROM ha"),
+    "haplotype_balance_gate": _w(_HAPLO + ", hs AS (SELECT chrom, pos, snp_pos, snp_base, sum(n) AS n, instr('ATCG', snp_base) AS i FROM ha GROUP BY ALL), hr AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos, snp_pos ORDER BY n DESC, i) AS k, sum(n) OVER (PARTITION BY chrom, pos, snp_pos) AS dp FROM hs)",
+        # Of 100 tosses, 40 to 60 heads have a two-sided p above .05.
+        "SELECT chrom, pos, snp_pos, max(snp_base) FILTER (k = 1) AS h1, max(snp_base) FILTER (k = 2) AS h2, CAST(any_value(dp) AS BIGINT) AS dp, count(*) FILTER (k <= 2 AND ceil(100 * n / dp) BETWEEN 40 AND 60) = 2 AS balanced FROM hr GROUP BY chrom, pos, snp_pos"),
+    "discordant_prop": "SELECT p_partkey, round(CASE WHEN p_partkey % 8 = 0 THEN 0 WHEN p_partkey % 2 = 0 THEN CASE WHEN v3 < v4 THEN coalesce(v3 / nullif(v1 + v3, 0), 0) ELSE coalesce(v4 / nullif(v2 + v4, 0), 0) END WHEN v2 < v3 THEN coalesce(v3 / nullif(v1 + v3, 0), 0) WHEN v2 > 0 THEN 1 ELSE 0 END, 6)::DOUBLE AS prop FROM (SELECT p_partkey, p_partkey % 50 AS v1, p_partkey * 3 % 17 AS v2, p_partkey * 5 % 11 AS v3, p_partkey * 7 % 13 AS v4 FROM part)",
+    "fisher_2x2": """WITH x AS (SELECT l_suppkey, l_linenumber, count(*) FILTER (l_quantity > 25 AND l_returnflag = 'A') AS a, count(*) FILTER (l_quantity > 25) AS r, count(*) FILTER (l_returnflag = 'A') AS c, count(*) AS n FROM lineitem GROUP BY ALL),
+  y AS (SELECT *, list_transform(range(greatest(0, c - (n - r)), least(r, c) + 1), lambda k: lgamma(r + 1.0) - lgamma(k + 1.0) - lgamma(r - k + 1.0) + lgamma(n - r + 1.0) - lgamma(c - k + 1.0) - lgamma(n - r - c + k + 1.0) - lgamma(n + 1.0) + lgamma(c + 1.0) + lgamma(n - c + 1.0)) AS t FROM x)
+  SELECT l_suppkey, l_linenumber, round(least(1.0, list_sum(list_transform(t, lambda v: CASE WHEN v <= t[a - greatest(0, c - (n - r)) + 1] + 1e-7 THEN exp(v) ELSE 0.0 END))), 6) AS p FROM y""",
+    "union_all": "SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier",
 }

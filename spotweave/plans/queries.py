@@ -12,7 +12,7 @@ from spotweave.functions import prob
 from spotweave.operators import events as E
 from spotweave.operators import features as X
 from spotweave.operators import genotype as T
-from spotweave.operators import grouped, intervals, ml
+from spotweave.operators import filters, grouped, intervals, ml, phasing
 from spotweave.operators import reads as R
 from spotweave.plans import demo
 from spotweave.session import ship
@@ -471,3 +471,122 @@ def filter_reads_quality(s, d):
 @query
 def filter_reads_by_barcode(s, d):
     return R.filter_reads_by_barcode(demo.reads(s, d), demo.clusters(s).where("cluster = '1'")).select("read_id", F.col("cb").alias("barcode"))
+
+
+def _germline(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return demo.table(s, d, "part").select(
+        F.concat(F.lit("chr"), (1 + k % 4).cast("string")).alias("chrom"), k.alias("pos"), F.when(F.col("p_size") % 5 == 0, "hom").otherwise("het").alias("genotype"),
+        (k * 7 % 60).alias("count1"), (k * 13 % 60).alias("count2"), (k % 9 / 10).alias("prior1"), (k % 7 / 10).alias("prior2"),
+    )
+
+
+@query
+def filter_informative_het(s, d):
+    return filters.filter_informative_het(_germline(s, d), 5, 0.05, 30).select("chrom", "pos", "count1", "count2")
+
+
+@query
+def filter_ase_germline(s, d):
+    return filters.filter_ase_germline(_germline(s, d)).select("chrom", "pos", "count1", "count2", r6("p").alias("p"))
+
+
+@query
+def filter_gene_bed(s, d):
+    named = demo.genes(s, d).withColumn("gene", F.when(F.col("start") % 7 == 0, F.concat(F.lit("MT-"), "gene")).otherwise(F.col("gene")))
+    return filters.filter_gene_bed(named, ["chr1", "chr2", "chr3"]).select("chrom", "start", "end", "gene")
+
+
+@query
+def mask_placeholder_priors(s, d):
+    k = F.col("p_partkey")
+    p = demo.table(s, d, "part").select("p_partkey", *[F.when(k % 5 == 0, 1.0).when(k % 5 == 1, 0.0).otherwise(k * m % 10 / 10).alias(f"f{b}") for b, m in zip(G.BASES, (1, 2, 3, 4), strict=True)])
+    return filters.mask_placeholder_priors(p, [f"f{b}" for b in G.BASES])
+
+
+@query
+def null_normalise(s, d):
+    text = F.element_at(F.array(*[F.lit(x) for x in (*filters.MISSING, "yes", "0")]), (F.col("p_size") % 7 + 1).cast("int"))
+    return demo.table(s, d, "part").select("p_partkey", filters.null_normalise(text).alias("x"))
+
+
+@query
+def zero_to_null(s, d):
+    return demo.table(s, d, "part").select("p_partkey", filters.zero_to_null(F.col("p_size") % 4).cast("long").alias("x"))
+
+
+@query
+def extract_barcode_umi(s, d):
+    tags = demo.table(s, d, "events").select("event_id", F.col("user_id").alias("Cx"), F.when(F.col("event_id") % 9 > 0, F.col("event_id") % 777).alias("Cy"), F.concat(F.lit(" "), "event_type").alias("UR"))
+    return filters.extract_barcode_umi(tags, "stereo", 50).select("event_id", "barcode", "umi")
+
+
+@query
+def barcode_to_cell(s, d):
+    cells = demo.clusters(s).select("barcode", F.concat(F.lit("cell"), "cluster").alias("cell")).where("cell <> 'cell3'")
+    return filters.barcode_to_cell(demo.events(s, d).select("read_id", "barcode", "umi"), cells).select("read_id", "barcode", "umi")
+
+
+@query
+def join_prior_lookup(s, d):
+    k, site = F.col("p_partkey"), F.col("p_partkey") % 60
+    population = demo.table(s, d, "part").select(
+        F.concat(F.lit("chr"), (1 + site % 3).cast("string")).alias("chrom"), (1000 + 4 * site).alias("pos"), _letter(k % 4).alias("ref"), _letter((k + 1 + F.col("p_size") % 3) % 4).alias("alt"), (F.col("p_size") / 100).alias("af")
+    )
+    return filters.join_prior_lookup(_sites(s, d), population)
+
+
+@query
+def RNA_editing(s, d):
+    known = demo.genes(s, d).select("chrom", F.col("start").alias("pos")).distinct()
+    flagged = X.membership_flag(context_rna192(s, d), known, ["chrom", "pos"], "editing_database").withColumn("editing_AtoG", F.contains("context", F.lit("A>G")))
+    return flagged.select("chrom", "pos", "editing_database", "editing_AtoG", (F.col("editing_database") | F.col("editing_AtoG")).alias("RNA_editing"))
+
+
+@query
+def agg_cluster_spatial(s, d):
+    out = filters.agg_cluster_spatial(_spots(s, d))
+    return out.select("chrom", "pos", "cluster", "spot_count", "depth", "mutant_allele_num", "has_mutant_allele", "high_prob", *[r6(c).alias(c) for c in ("vaf", "vaf_unnom", "mutant_prop_vaf", "mutant_prop_prob")])
+
+
+@query
+def cross_mosaic_hsnp(s, d):
+    region = F.floor((F.col("pos") - 1000) / 80).alias("region")
+    return phasing.cross_mosaic_hsnp(_mutants(s, d).select("chrom", "pos", region), _sites(s, d).where("pos % 16 = 12").select("chrom", "pos", region))
+
+
+def _haplotypes(s: SparkSession, d: str) -> DataFrame:
+    calls = _consensus(s, d).select("chrom", "pos", F.concat_ws("_", "barcode", "umi").alias("molecule"), F.when(F.col("phred") >= 20, F.col("allele")).alias("base"))
+    return phasing.agg_phase_haplotypes(cross_mosaic_hsnp(s, d), calls)
+
+
+@query
+def agg_phase_haplotypes(s, d):
+    return _haplotypes(s, d)
+
+
+@query
+def haplotype_balance_gate(s, d):
+    return phasing.haplotype_balance_gate(_haplotypes(s, d))
+
+
+@query
+def discordant_prop(s, d):
+    k = F.col("p_partkey")
+    item = lambda name, n: F.concat(F.lit(f"{name}:"), n.cast("string"))
+    details = F.when(k % 8 == 0, item("AG", k)).otherwise(F.concat_ws(";", item("AG", k % 50), item("AT", k * 3 % 17), item("CG", k * 5 % 11), F.when(k % 2 == 0, item("CT", k * 7 % 13))))
+    return demo.table(s, d, "part").select("p_partkey", r6(phasing.discordant_prop(details)).alias("prop"))
+
+
+@query
+def fisher_2x2(s, d):
+    dear, back = F.col("l_quantity") > 25, F.col("l_returnflag") == "A"
+    cells = {"a": dear & back, "b": dear & ~back, "c": ~dear & back, "d": ~dear & ~back}
+    x = demo.table(s, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(*[F.count_if(c).cast("double").alias(n) for n, c in cells.items()])
+    return x.select("l_suppkey", "l_linenumber", r6(prob.fisher_two_sided(*map(F.col, "abcd"))).alias("p"))
+
+
+@query
+def union_all(s, d):
+    c = demo.table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    return c.unionByName(demo.table(s, d, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation")))

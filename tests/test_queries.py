@@ -17,7 +17,7 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["interval_join_gene_het", "interval_join_cluster_region", "interval_subtract_bed", "asof_mappability", "win_merge_intervals", "win_gap_sessionize", "umi_consensus", "join_cluster_vaf_calc", "interval_left_gene", "rule_filtration", "umi_event_explode", "filter_reads_quality", "filter_reads_by_barcode"])
+@pytest.mark.parametrize("name", ["interval_join_gene_het", "interval_join_cluster_region", "interval_subtract_bed", "asof_mappability", "win_merge_intervals", "win_gap_sessionize", "umi_consensus", "join_cluster_vaf_calc", "interval_left_gene", "rule_filtration", "umi_event_explode", "filter_reads_quality", "filter_reads_by_barcode", "filter_ase_germline", "join_prior_lookup", "RNA_editing", "agg_phase_haplotypes", "haplotype_balance_gate", "discordant_prop", "fisher_2x2"])
 def test_query(spark, name):
     c = duckdb.connect()
     for t in TABLES:
