@@ -1,4 +1,4 @@
-"""The ten operators over the tables of a folder, and the SQL of those that SQL can express."""
+"""The operators over the tables of a folder, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import chat_quotes, fingerprints, langid, line_dedup, lm_scoring, mixing, neardup, packing, sharding, topk
+from spotweave.llm import chat_quotes, decontaminate, fingerprints, langid, line_dedup, lm_scoring, mixing, neardup, packing, sharding, topk
 from spotweave.session import ship
 
 
@@ -58,8 +58,12 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.col("target"), "taken")
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_exact_topk, op3_line_dedup, op4_chat_quotes, op5_language_id, op6_minhash_neardup, op7_packing, op8_fingerprints, op9_lm_scoring, op10_mixing)
+    f.__name__: f for f in (op1_sharding, op2_exact_topk, op3_line_dedup, op4_chat_quotes, op5_language_id, op6_minhash_neardup, op7_packing, op8_fingerprints, op9_lm_scoring, op10_mixing, op11_decontamination)
 }
 
 _TOPK = """
@@ -85,6 +89,21 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.m AS componen
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.d = w.doc_id
 """
 
+_DECONTAMINATION = r"""
+WITH x AS (SELECT translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, doc_id FROM documents),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(t, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least(10, len(w)) AS l, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda s: array_to_string(w[s:s + least(10, len(w)) - 1], ' '))) AS t FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT l FROM iw),
+dw AS (SELECT k, l, unnest(list_transform(range(1, len(w) - l + 2), lambda s: {'s': s, 't': array_to_string(w[s:s + l - 1], ' ')})) AS o FROM d, g),
+h AS (SELECT dw.k, dw.l, dw.o.s AS s, dw.o.t AS t FROM dw WHERE dw.o.t IN (SELECT t FROM iw)),
+v AS (SELECT DISTINCT h.k, h.l, h.s, iw.item FROM h JOIN iw ON iw.t = h.t AND iw.l = h.l),
+p AS (SELECT k, count(DISTINCT w) AS n FROM (SELECT k, unnest(range(s, s + l)) AS w FROM (SELECT DISTINCT k, l, s FROM v)) GROUP BY k),
+m AS (SELECT k, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT k, item FROM v) GROUP BY k)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items, coalesce(m.sha, sha256('')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.k = d.k LEFT JOIN m ON m.k = d.k
+"""
+
 
 def _mixing_sql(documents: str = "documents") -> str:
     draws = ", ".join(f"CAST(('0x' || substr(md5('{i // 4}:' || coalesce(CAST(doc_id AS VARCHAR), '')), {1 + 8 * (i % 4)}, 8)) AS BIGINT) / 4294967296.0" for i in range(mixing.SEEDS))
@@ -106,4 +125,4 @@ FROM x JOIN h ON x.source IS NOT DISTINCT FROM h.source
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_topk": _TOPK, "op6_minhash_neardup": _NEARDUP, "op10_mixing": _mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": _TOPK, "op6_minhash_neardup": _NEARDUP, "op10_mixing": _mixing_sql(), "op11_decontamination": _DECONTAMINATION}
