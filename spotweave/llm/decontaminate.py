@@ -146,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     found, items = occurrences(docs, benchmark, doc_id, text)
     counts = _spans(found).select("id", "own", "n_hit").join(_items(found, items).withColumnsRenamed({"id": "i", "own": "o"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("own") == F.col("o"))).drop("i", "o")
-    every = docs.select(F.col(doc_id).alias("doc_id"), _key(F.col(text)).alias("mine"), F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    every = docs.select(F.col(doc_id).alias("doc_id"), _key(F.col(text)).alias("mine"), F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _BETWEEN), "")).cast("long").alias("n_words"))
     joined = every.join(counts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mine") == F.col("own")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     return joined.select("doc_id", "n_words", zero("n_hit").alias("n_hit"), zero("n_items").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (zero("n_hit") > 0).alias("contaminated"))
