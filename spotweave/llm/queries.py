@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import chat_quotes, decontaminate, fingerprints, langid, line_dedup, lm_scoring, mixing, neardup, packing, sharding, topk
+from spotweave.llm import chat_quotes, decontaminate, fingerprints, langid, line_dedup, lm_scoring, mixing, neardup, packing, prefix_trie, sharding, topk
 from spotweave.session import ship
 
 
@@ -62,8 +62,12 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_exact_topk, op3_line_dedup, op4_chat_quotes, op5_language_id, op6_minhash_neardup, op7_packing, op8_fingerprints, op9_lm_scoring, op10_mixing, op11_decontamination)
+    f.__name__: f for f in (op1_sharding, op2_exact_topk, op3_line_dedup, op4_chat_quotes, op5_language_id, op6_minhash_neardup, op7_packing, op8_fingerprints, op9_lm_scoring, op10_mixing, op11_decontamination, op12_prefix_trie)
 }
 
 _TOPK = """
@@ -104,6 +108,25 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS B
 FROM d LEFT JOIN p ON p.k = d.k LEFT JOIN m ON m.k = d.k
 """
 
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda y: ascii(y)::BIGINT),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
+
+_TRIE = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n, c - c % 5 AS b, {_CRC32.replace('conv_id', 'c')} % 9 AS h FROM t GROUP BY c),
+m AS (SELECT n.*, least(n.h, coalesce(o.n, 0)) AS lent FROM n LEFT JOIN n o ON o.c = n.b),
+u AS (SELECT m.c, t.p + 1 AS d, t.r, t.x FROM m JOIN t ON t.c = m.b AND t.p < m.h UNION ALL SELECT m.c, t.p - m.h + m.lent + 1, t.r, t.x FROM m JOIN t ON t.c = m.c AND t.p >= m.h),
+w AS (SELECT c, d, list({{'r': r, 'x': x}}) OVER (PARTITION BY c ORDER BY d) AS k, x FROM u UNION ALL SELECT c, 0, [], '' FROM m),
+e AS (SELECT c, max(d) AS e FROM w GROUP BY c),
+g AS (SELECT d, k, min(c) AS c, count(*) AS n, any_value(strlen(x)) AS b, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (e.e = d) AS ends FROM w JOIN e USING (c) GROUP BY d, k),
+a AS (SELECT g.*, (SELECT min(o.c) FROM w o WHERE o.d = g.d - 1 AND o.k = g.k[1:g.d - 1]) AS pc FROM g),
+ch AS (SELECT pc, d - 1 AS d, count(*) AS n FROM a WHERE d > 0 GROUP BY 1, 2),
+s AS (SELECT a.*, coalesce(ch.n, 0) AS ch FROM a LEFT JOIN ch ON ch.pc = a.c AND ch.d = a.d),
+z AS (SELECT w.k, w.d, sum(s.n * s.b - s.b) AS saved, count(*) FILTER (s.ch = 0) AS leaves FROM w JOIN s ON s.c = w.c AND s.d >= w.d GROUP BY w.k, w.d)
+SELECT s.c AS conv_id, CAST(s.d AS BIGINT) AS depth, s.pc AS parent_conv_id, s.n AS n_convs, CAST(s.ch AS BIGINT) AS n_children, z.leaves AS n_leaves, CAST(z.saved AS BIGINT) AS saved_tokens, sha256(coalesce(s.ends, '')) AS ends_sha256
+FROM s JOIN z ON z.k = s.k AND z.d = s.d
+"""
+
 
 def _mixing_sql(documents: str = "documents") -> str:
     draws = ", ".join(f"CAST(('0x' || substr(md5('{i // 4}:' || coalesce(CAST(doc_id AS VARCHAR), '')), {1 + 8 * (i % 4)}, 8)) AS BIGINT) / 4294967296.0" for i in range(mixing.SEEDS))
@@ -125,4 +148,4 @@ FROM x JOIN h ON x.source IS NOT DISTINCT FROM h.source
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_topk": _TOPK, "op6_minhash_neardup": _NEARDUP, "op10_mixing": _mixing_sql(), "op11_decontamination": _DECONTAMINATION}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": _TOPK, "op6_minhash_neardup": _NEARDUP, "op10_mixing": _mixing_sql(), "op11_decontamination": _DECONTAMINATION, "op12_prefix_trie": _TRIE}
