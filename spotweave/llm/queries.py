@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import chat_quotes, decontaminate, fingerprints, langid, line_dedup, lm_scoring, mixing, neardup, packing, prefix_trie, sharding, topk
+from spotweave.llm import chat_quotes, decontaminate, fingerprints, langid, line_dedup, lm_scoring, mixing, neardup, packing, prefix_trie, sharding, topk, whitening
 from spotweave.session import ship
 
 
@@ -66,8 +66,12 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, folder, "conversations"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_exact_topk, op3_line_dedup, op4_chat_quotes, op5_language_id, op6_minhash_neardup, op7_packing, op8_fingerprints, op9_lm_scoring, op10_mixing, op11_decontamination, op12_prefix_trie)
+    f.__name__: f for f in (op1_sharding, op2_exact_topk, op3_line_dedup, op4_chat_quotes, op5_language_id, op6_minhash_neardup, op7_packing, op8_fingerprints, op9_lm_scoring, op10_mixing, op11_decontamination, op12_prefix_trie, op13_whitening)
 }
 
 _TOPK = """
