@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,29 @@ def _ln_beta_small(a: Column, b: Column) -> Column:
     return lgamma(a + 1) - F.log(a) + lgamma(b) - (lgamma(a + b + 1) - F.log(a + b))
 
 
+def erfc(x: Column) -> Column:
+    """The complementary error function to double precision, for x >= 0: the trapezoidal rule of step 1/2 with its pole's residue."""
+    step, terms = 0.5, 13
+    total = sum((F.exp(F.lit(-((k * step) ** 2))) / (x * x + (k * step) ** 2) for k in range(1, terms + 1)), 0.5 / (x * x))
+    far = 2 * step / math.pi * x * F.exp(-x * x) * total
+    residue = F.when(x < math.pi / step, 2 / (1 - F.exp(2 * math.pi / step * F.least(x, F.lit(math.pi / step))))).otherwise(0.0)
+    near = x - x * x * x * (1 / 3 - x * x * (1 / 10 - x * x * (1 / 42 - x * x / 216)))  # the two parts cancel at 0
+    return F.when(x < 0.05, 1 - 2 / math.sqrt(math.pi) * near).otherwise(far + residue)
+
+
+def normal_sf(z: Column) -> Column:
+    """P(Z > z) of the standard normal distribution."""
+    tail = erfc(F.abs(z) / math.sqrt(2)) / 2
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def bh_adjusted(p: Column, every: Column) -> Column:
+    """Benjamini-Hochberg's value of p among the array `every`; nulls count for nothing and stay null."""
+    known = F.array_sort(F.filter(every, lambda x: x.isNotNull()))
+    scaled = F.transform(known, lambda x, i: F.struct(x.alias("p"), (x * F.size(known) / (i + 1)).alias("q")))
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), F.array_min(F.transform(F.filter(scaled, lambda s: s["p"] >= p), lambda s: s["q"]))))
+
+
 def log10_sum(parts: list[Column]) -> Column:
     """log10 of a sum of powers of ten."""
     most = F.greatest(*parts)

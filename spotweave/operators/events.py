@@ -6,11 +6,14 @@ Events have (chrom, pos, barcode, umi, base, qual, is_reverse, ref). Everything
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spotweave.functions.genome import BASES, base_rank
+from spotweave.functions.expressions import bind
 from spotweave.functions.prob import binom_sf, miss_to_phred, phred_to_q
 
 SITE = ["chrom", "pos"]
@@ -49,45 +52,56 @@ def classify_candidates(sites: DataFrame) -> DataFrame:
     return out.where("is_somatic or is_error")
 
 
-def agg_umi(events: DataFrame) -> DataFrame:
-    """Each molecule's counts, log-likelihood sums and strand ('-' on a tie)."""
+MOLECULE = ["chrom", "pos", "ref", "barcode", "umi"]
+
+
+def agg_umi(events: DataFrame, also: Sequence[str] = (), *more: Column) -> DataFrame:
+    """Each molecule's counts, log-likelihood sums and strand ('-' on a tie).
+
+    also: further key columns, as where a site has several variants; more: further aggregates.
+    """
     q = phred_to_q(F.col("qual"))
     per = []
     for b in BASES:
         here = F.col("base") == b
         # Quality 0 means certain error: its logarithm is bounded, so that sums stay finite.
         per += [F.count_if(here).alias(f"n{b}"), F.sum(F.when(here, F.log(F.greatest(q, F.lit(1e-12)))).otherwise(0.0)).alias(f"r{b}"), F.sum(F.when(here, -F.col("qual") / 10 * F.log(F.lit(10.0))).otherwise(0.0)).alias(f"e{b}")]
-    out = usable_events(events).groupBy("chrom", "pos", "ref", "barcode", "umi").agg(*per, F.count("*").alias("reads"), F.count_if("is_reverse").alias("reverse"))
+    out = usable_events(events).groupBy(*MOLECULE, *also).agg(*per, F.count("*").alias("reads"), F.count_if("is_reverse").alias("reverse"), *more)
     return out.withColumn("strand", F.when(F.col("reads") - F.col("reverse") > F.col("reverse"), "+").otherwise("-"))
 
 
 def umi_consensus(umis: DataFrame, weight: float = 0.5) -> DataFrame:
-    """The molecule's allele and its phred: the likeliest base under sequencing and PCR errors, the reference on a tie."""
+    """The molecule's allele and its phred: the likeliest base under sequencing and PCR errors, the reference on a tie, then A, T, C, G.
+
+    Likelihoods are bound as one array, so a condition on allele or phred repeats them once and not for every use.
+    """
     no_pcr = (1 - 1e-6) ** 100
-    dp = F.col("reads")
-    pcr = {b: F.pow(F.lit(10.0), -6.0 * (F.col(f"n{b}") + 0.5) / (dp + 2)) for b in BASES}
+    pcr = F.array(*[F.pow(F.lit(10.0), -6.0 * (F.col(f"n{b}") + 0.5) / (F.col("reads") + 2)) for b in BASES])
     right = F.exp(sum((F.when(F.col(f"n{b}") > 0, F.col(f"r{b}")).otherwise(0.0) for b in BASES), F.lit(0.0)))
-    like = {}
-    for b in BASES:
-        others = [h for h in BASES if h != b]
-        pro = F.exp(F.col(f"r{b}") + sum((F.col(f"e{h}") for h in others), F.lit(0.0)))
-        product = pcr[others[0]] * pcr[others[1]] * pcr[others[2]]
-        like[b] = F.when(F.col(f"n{b}") > 0, weight * no_pcr * pro + (1 - weight) * right * F.least(*[pcr[h] for h in others])).otherwise(right * product)
-    out = umis.select("*", *[like[b].alias(f"l{b}") for b in BASES])
-    total = F.col("lA") + F.col("lT") + F.col("lC") + F.col("lG")
-    phreds = []
-    for b in BASES:
-        miss = sum((F.col(f"l{h}") for h in BASES if h != b), F.lit(0.0)) / total
-        phreds.append(F.when(total <= 0, F.lit(0)).otherwise(miss_to_phred(miss)).alias(f"p{b}"))
-    return pick_candidate(out.select("chrom", "pos", "ref", "barcode", "umi", "strand", "reads", *[f"n{b}" for b in BASES], *phreds))
-
 
-def pick_candidate(scored: DataFrame) -> DataFrame:
-    """allele and phred: the greatest phred, ties in the order A, T, C, G, the reference first of all."""
-    best = F.greatest(*[F.col(f"p{b}") for b in BASES])
-    own = F.when(F.col("ref") == "A", F.col("pA")).when(F.col("ref") == "T", F.col("pT")).when(F.col("ref") == "C", F.col("pC")).when(F.col("ref") == "G", F.col("pG"))
-    first = F.when(F.col("pA") == best, "A").when(F.col("pT") == best, "T").when(F.col("pC") == best, "C").otherwise("G")
-    return scored.withColumn("allele", F.when(own >= best, F.col("ref")).otherwise(first)).withColumn("phred", best)
+    def likelihoods(x: Column) -> Column:
+        like = []
+        for i, b in enumerate(BASES):
+            others = [j for j in range(4) if j != i]
+            errors = [F.get(x["pcr"], F.lit(j)) for j in others]
+            pro = F.exp(F.col(f"r{b}") + sum((F.col(f"e{BASES[j]}") for j in others), F.lit(0.0)))
+            like.append(F.when(F.col(f"n{b}") > 0, weight * no_pcr * pro + (1 - weight) * x["right"] * F.least(*errors)).otherwise(x["right"] * (errors[0] * errors[1] * errors[2])))
+        return F.array(*like)
+
+    def phreds(l: Column) -> Column:
+        at = [F.get(l, F.lit(i)) for i in range(4)]
+        total = at[0] + at[1] + at[2] + at[3]
+        miss = lambda i: sum((at[j] for j in range(4) if j != i), F.lit(0.0)) / total
+        return F.array(*[F.when(total <= 0, F.lit(0)).otherwise(miss_to_phred(miss(i))) for i in range(4)])
+
+    def best(p: Column) -> Column:
+        most = F.array_max(p)
+        own = F.get(p, base_rank(F.col("ref")))
+        return F.struct(F.when(own >= most, F.col("ref")).otherwise(F.get(F.array(*map(F.lit, BASES)), (F.array_position(p, most) - 1).cast("int"))).alias("allele"), most.alias("phred"))
+
+    call = bind(bind(bind(F.struct(pcr.alias("pcr"), right.alias("right")), likelihoods), phreds), best)
+    kept = [c for c in umis.columns if c not in {"reverse", *[f"{k}{b}" for k in "re" for b in BASES]}]
+    return umis.select(*kept, call.alias("_call")).select(*kept, "_call.allele", "_call.phred")
 
 
 def check_errors(umis: DataFrame, threshold: int = 3) -> DataFrame:

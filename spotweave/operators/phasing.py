@@ -7,6 +7,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.functions.expressions import bind
 from spotweave.functions.genome import BASES
 
 PAIR = ["chrom", "pos", "snp_pos"]
@@ -48,7 +49,6 @@ def haplotype_balance_gate(haplotypes: DataFrame, alpha: float = 0.05) -> DataFr
 
 def discordant_prop(details: Column) -> Column:
     """Share of the last count among every second count of `key:count;...`, of those that the smaller of the last two is in; 0 where undefined."""
-    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  # one copy of x in the plan
     last = lambda v, k: F.get(v, F.size(v) - k)
     values = F.filter(F.transform(F.split(details, ";"), lambda x: F.split_part(x, F.lit(":"), F.lit(2)).try_cast("long")), lambda x: x.isNotNull())
     picked = bind(values, lambda v: F.filter(v, lambda x, i: (i % 2 == 0) == (last(v, 2) < last(v, 1))))  # null below two values
