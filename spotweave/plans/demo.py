@@ -50,10 +50,15 @@ def reads(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(
         key.alias("read_id"), F.concat(F.lit("chr"), (1 + key % 3).cast("string")).alias("chrom"), (key % 300).alias("ref_start"), (key % 4 * 85).cast("int").alias("mapq"), (key % 2 == 1).alias("is_reverse"),
         F.substr(F.lit("ACGTTGCAN" * 6), (1 + F.col("o_custkey") % 9).cast("int"), F.lit(40)).alias("seq"), F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: ((i * 7 + key) % 45).cast("int")).alias("quals"),
-        F.get(kinds, (key % 4).cast("int")).alias("cigar"), F.when(F.col("o_custkey") % 11 != 0, F.concat(F.lit("BC"), (F.col("o_custkey") % 50).cast("string"))).alias("cb"), (key % 10).cast("string").alias("ub"), (key % 7).cast("int").alias("nm"),
+        F.get(kinds, (key % 4).cast("int")).alias("cigar"), F.when(F.col("o_custkey") % 11 != 0, F.concat(F.lit("BC"), (F.col("o_custkey") % 50).cast("string"))).alias("cb"), (key % 10).cast("string").alias("ub"), (key % 7).cast("int").alias("nm"), F.when(F.col("o_custkey") % 13 == 0, 3).otherwise(1).alias("nh"),
     )
 
 
+def read_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The sites of read_sites with an alternative each: chrom, pos, ref, alt."""
+    return read_sites(spark, folder).distinct().withColumn("alt", F.substr(F.lit("TCG"), (1 + F.col("pos") % 3).cast("int"), F.lit(1)))
+
+
 def read_sites(spark: SparkSession, folder: str) -> DataFrame:
     """Sites out of the parts, the same for several of them: chrom, pos, ref."""
     p = table(spark, folder, "part")

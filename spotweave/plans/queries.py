@@ -13,6 +13,7 @@ from spotweave.operators import events as E
 from spotweave.operators import features as X
 from spotweave.operators import genotype as T
 from spotweave.operators import filters, grouped, intervals, ml, phasing
+from spotweave.operators import read_features as read_level
 from spotweave.operators import reads as R
 from spotweave.plans import demo
 from spotweave.session import ship
@@ -473,6 +474,12 @@ def filter_reads_by_barcode(s, d):
     return R.filter_reads_by_barcode(demo.reads(s, d), demo.clusters(s).where("cluster = '1'")).select("read_id", F.col("cb").alias("barcode"))
 
 
+@query
+def read_features(s, d):
+    out = read_level.read_features(read_level.observations(demo.reads(s, d), demo.read_variants(s, d)))
+    return out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
 def _germline(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     return demo.table(s, d, "part").select(
