@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spotweave.functions.expressions import bind
+
 # Lanczos coefficients for g = 7, n = 9 (public numerical tables).
 _LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
@@ -39,11 +42,29 @@ def miss_to_phred(miss: Column) -> Column:
     return F.when(miss < 1e-16, F.lit(40)).otherwise(F.ceil(F.round(-F.log10(miss) * 10, 9))).cast("int")
 
 
+def _tail(first: Column, steps: Column, ratio: Callable[[Column], Column]) -> Column:
+    """first + first * ratio(1) + first * ratio(1) * ratio(2) + ..., with `steps` further terms."""
+    begin = F.struct(first.alias("t"), first.alias("s"))
+    places = F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    def step(x: Column, i: Column) -> Column:
+        return bind(x["t"] * ratio(i), lambda t: F.struct(t.alias("t"), (x["s"] + t).alias("s")))
+
+    return F.aggregate(places, begin, step, lambda x: x["s"])
+
+
 def binom_sf(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) for X ~ Binomial(n, p), 0 < p < 1, in log space."""
-    terms = F.sequence(F.greatest(k, F.lit(0)).cast("long"), n.cast("long"))
-    total = F.aggregate(terms, F.lit(0.0), lambda a, i: a + F.exp(ln_choose(n, i.cast("double")) + i * F.log(p) + (n - i) * F.log(1 - p)))
-    return F.when(k <= 0, 1.0).when(k > n, 0.0).otherwise(F.least(F.lit(1.0), total))
+    """P(X >= k) for X ~ Binomial(n, p), 0 < p < 1: the smaller tail, term from term, as far as terms don't vanish.
+
+    From k away from the mean, terms 10 sqrt(n) further on are below e^-200 of the first.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    at = lambda i: F.exp(ln_choose(n, i) + i * F.log(p) + (n - i) * F.log(1 - p))
+    far = F.ceil(10 * F.sqrt(n)) + 50
+    odds = p / (1 - p)
+    upper = _tail(at(k), F.least(n - k, far), lambda i: (n - k - i + 1) / (k + i) * odds)
+    lower = _tail(at(k - 1), F.least(k - 1, far), lambda i: (k - i) / (n - k + i + 1) / odds)
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).when(k > n * p, F.least(F.lit(1.0), upper)).otherwise(F.greatest(F.lit(0.0), 1 - lower))
 
 
 def binom_two_sided(k: Column, n: Column) -> Column:
@@ -52,13 +73,12 @@ def binom_two_sided(k: Column, n: Column) -> Column:
 
 
 def beta_binomial_sf(alt: Column, depth: Column, a: float = 0.107, b: float = 47.58) -> Column:
-    """P(X >= alt) of a beta-binomial count."""
-    below = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.greatest(alt - 1, F.lit(0)).cast("long")),
-        F.lit(0.0),
-        lambda t, i: t + F.exp(ln_choose(depth, i.cast("double")) + _ln_beta_small(i + a, depth - i + b) - _ln_beta_small(F.lit(a), F.lit(b))),
-    )
-    return F.when(alt <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - below))
+    """P(X >= alt) of a beta-binomial count: the smaller tail, term from term."""
+    k, n = alt.cast("double"), depth.cast("double")
+    at = lambda i: F.exp(ln_choose(n, i) + _ln_beta_small(i + a, n - i + b) - _ln_beta_small(F.lit(a), F.lit(b)))
+    upper = _tail(at(k), n - k, lambda i: (n - k - i + 1) * (k + i - 1 + a) / ((k + i) * (n - k - i + b)))
+    lower = _tail(at(k - 1), k - 1, lambda i: (k - i) * (n - k + i + b) / ((n - k + i + 1) * (k - i - 1 + a)))
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).when(k > n * a / (a + b), F.least(F.lit(1.0), upper)).otherwise(F.greatest(F.lit(0.0), 1 - lower))
 
 
 def _ln_beta_small(a: Column, b: Column) -> Column:

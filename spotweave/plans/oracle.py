@@ -62,8 +62,8 @@ lh AS (SELECT *, (ch + rr + aw) / ln(10) AS l_refhom, (ch + rw + ar) / ln(10) AS
   FROM (SELECT *, lgamma(r + a + 1.0) - lgamma(a + 1.0) - lgamma(r + 1.0) AS ch FROM ll))"""
 
 
-def _w(ctes: str, select: str) -> str:
-    return f"WITH {ctes} {select}"
+def _w(ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}{ctes} {select}"
 
 
 def _sf(k: str, n: str, p: str) -> str:
@@ -77,6 +77,18 @@ _COMP = lambda x: f"translate({x}, 'ATCG', 'TAGC')"
 _RNA = f"CASE WHEN pos % 8 = 0 THEN {_COMP('down')} || '[' || {_COMP('ref')} || '>' || {_COMP('alt')} || ']' || {_COMP('up')} ELSE up || '[' || ref || '>' || alt || ']' || down END"
 _SPEC = _VAR + f""", ct AS (SELECT row_number() OVER (ORDER BY r, a, u, d) - 1 AS place, u || '[' || r || '>' || a || ']' || d AS context FROM (VALUES ('A'),('C'),('G'),('T')) t1(r), (VALUES ('A'),('C'),('G'),('T')) t2(a), (VALUES ('A'),('C'),('G'),('T')) t3(u), (VALUES ('A'),('C'),('G'),('T')) t4(d) WHERE r <> a),
 sc AS (SELECT place, ct.context, CAST(coalesce(n, 0) AS BIGINT) AS n FROM ct LEFT JOIN (SELECT {_RNA} AS context, count(*) AS n FROM va GROUP BY 1) m ON m.context = ct.context)"""
+_FIT = f"""er AS (SELECT {_RNA.replace('alt', 'alt1')} AS context FROM (SELECT chrom, pos, ref, allele2 AS alt1, substr('ATCG', CAST((pos + 1) % 4 + 1 AS INT), 1) AS up, substr('ATCG', CAST((pos + 2) % 4 + 1 AS INT), 1) AS down FROM al WHERE depth >= 100 AND count1 / depth >= 0.95 AND count2 >= 5)),
+cx AS (SELECT place, context FROM (SELECT (r * 3 + a - CASE WHEN a > r THEN 1 ELSE 0 END) * 16 + u * 4 + d AS place, substr('ACGT', u + 1, 1) || '[' || substr('ACGT', r + 1, 1) || '>' || substr('ACGT', a + 1, 1) || ']' || substr('ACGT', d + 1, 1) AS context
+  FROM range(4) t1(r), range(4) t2(a), range(4) t3(u), range(4) t4(d) WHERE a <> r)),
+sg AS (SELECT context, sum(p_size * CASE WHEN substr(context, 3, 1) = 'A' THEN 9 ELSE 1 END) AS s1, sum(p_size % 11 * CASE WHEN substr(context, 3, 1) = 'C' THEN 9 ELSE 1 END) AS s2, sum(p_size * 7 % 13) AS s3 FROM part JOIN cx ON place = p_partkey % 192 GROUP BY context),
+sn2 AS (SELECT sg.context, s1 / sum(s1) OVER () AS s1, s2 / sum(s2) OVER () AS s2, s3 / sum(s3) OVER () AS s3, (SELECT count(*) FROM er WHERE er.context = sg.context) / (SELECT count(*) FROM er) AS t FROM sg),
+gm AS (SELECT sum(s1*s1) AS g11, sum(s1*s2) AS g12, sum(s1*s3) AS g13, sum(s2*s2) AS g22, sum(s2*s3) AS g23, sum(s3*s3) AS g33, sum(s1*t) AS b1, sum(s2*t) AS b2, sum(s3*t) AS b3 FROM sn2),
+st2 AS (SELECT 0 AS i, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3 UNION ALL
+  SELECT i + 1, greatest(0, v1 - th), greatest(0, v2 - th), greatest(0, v3 - th) FROM (
+    SELECT *, greatest(0, greatest(v1, v2, v3) - 1, (greatest(v1, 0) + greatest(v2, 0) + greatest(v3, 0) - least(greatest(v1, 0), greatest(v2, 0), greatest(v3, 0)) - 1) / 2, (greatest(v1, 0) + greatest(v2, 0) + greatest(v3, 0) - 1) / 3) AS th FROM (
+      SELECT i, w1 + (b1 - g11*w1 - g12*w2 - g13*w3) / (g11+g22+g33) AS v1, w2 + (b2 - g12*w1 - g22*w2 - g23*w3) / (g11+g22+g33) AS v2, w3 + (b3 - g13*w1 - g23*w2 - g33*w3) / (g11+g22+g33) AS v3 FROM st2, gm WHERE i < 4000))),
+wt AS (SELECT CASE WHEN w1 >= 0.06 THEN w1 ELSE 0 END AS w1, CASE WHEN w2 >= 0.06 THEN w2 ELSE 0 END AS w2, CASE WHEN w3 >= 0.06 THEN w3 ELSE 0 END AS w3 FROM st2 WHERE i = 4000),
+rw AS (SELECT context, w1 * s1 + w2 * s2 + w3 * s3 AS mixed FROM sn2, wt)"""
 _BB = "greatest(0, 1 - list_sum(list_transform(range(0, CAST(alt_count AS BIGINT)), lambda i: exp(lgamma(depth + 1.0) - lgamma(i + 1.0) - lgamma(depth - i + 1.0) + lgamma(i + 0.107) + lgamma(depth - i + 47.58) - lgamma(depth + 0.107 + 47.58) - lgamma(0.107) - lgamma(47.58) + lgamma(0.107 + 47.58)))))"
 _PAIRS = _EVENTS + """, pr AS (SELECT chrom, pos, umi, n11, n12, n21 // (1 + pos % 16 * 4) AS n21, n22 FROM (SELECT chrom, pos, umi, count(*) FILTER (base <> ref AND NOT is_reverse) AS n11, count(*) FILTER (base <> ref AND is_reverse) AS n12,
   count(*) FILTER (base = ref AND NOT is_reverse) AS n21, count(*) FILTER (base = ref AND is_reverse) AS n22 FROM ev GROUP BY chrom, pos, umi)),
@@ -126,7 +138,8 @@ ORACLE_SQL: dict[str, str] = {
     "gc_content": "SELECT doc_id, round(CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[GC]')) / length(text) END, 9) AS gc FROM documents",
     "cause_poly_alt": _w(_VAR, "SELECT chrom, pos, contains(substr(repeat(alt, CAST(pos % 7 AS INT)), 1, 5) || alt || down, repeat(alt, 6)) AS poly FROM va"),
     "beta_binomial_sf": _w(_VAR, f"SELECT chrom, pos, alt_count, depth, round({_BB}, 6) AS p FROM va"),
-    "hFDR": _w(_VAR + f", bb AS (SELECT *, {_BB} AS al FROM va)", "SELECT chrom, pos, round(al / (al + (depth - alt_count + 1) / (depth + 1) * (1.0 / (1 + pos % 5)) / 49), 6) AS hfdr FROM bb"),
+    "hFDR": _w(_VAR + _ALLELES[len(_EVENTS) :] + ", " + _FIT + f", bb AS (SELECT *, {_BB} AS al FROM (SELECT va.*, {_RNA} AS context FROM va) JOIN rw USING (context))", "SELECT chrom, pos, CASE WHEN mixed > 0 THEN round(al / (al + (depth - alt_count + 1) / (depth + 1) / 192 / mixed / 49), 6) ELSE 0 END AS hfdr FROM bb", True),
+    "signature_fit": _w(_VAR + _ALLELES[len(_EVENTS) :] + ", " + _FIT, "SELECT context, CASE WHEN mixed > 0 THEN round(1 / 192 / mixed, 6) ELSE CAST('inf' AS DOUBLE) END AS rweigh FROM rw", True),
     "binom_cdf_ase": _w(_MUT + f", hp AS (SELECT cl.chrom, cl.pos, greatest(0, 1 - ({_sf(f'(({_COUNT}) + 1)', _DEPTH, '0.1')})) AS p FROM cl JOIN mu ON cl.chrom = mu.chrom AND cl.pos = mu.pos WHERE {_DEPTH} > 0), hq AS (SELECT *, p * count(*) OVER (PARTITION BY chrom, pos) / k AS q FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY p) AS k FROM hp)), ha AS (SELECT chrom, pos, least(1, min(q) OVER (PARTITION BY chrom, pos ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS a FROM hq)", "SELECT chrom, pos, max(a) >= 0.05 AS ase, round(max(a), 6) AS p_adj FROM ha GROUP BY chrom, pos"),
     "bh_fdr": "WITH x AS (SELECT p_size AS g, p_partkey, (p_partkey * 7919 % 1009 + 1) / 1010 AS p FROM part WHERE p_partkey % 11 <> 0), y AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS k, count(*) OVER (PARTITION BY g) AS n FROM x), z AS (SELECT p_partkey, least(1, min(p * n / k) OVER (PARTITION BY g ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS p_adj FROM y) SELECT part.p_partkey, round(p_adj, 6) AS p_adj FROM part LEFT JOIN z ON z.p_partkey = part.p_partkey",
     "phase_classify": _w(_PAIRS, "SELECT chrom, pos, umi, n11, n12, n21, n22, haplo FROM pc"),

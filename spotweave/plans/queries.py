@@ -12,7 +12,7 @@ from spotweave.functions import prob
 from spotweave.operators import events as E
 from spotweave.operators import features as X
 from spotweave.operators import genotype as T
-from spotweave.operators import filters, grouped, intervals, ml, phasing
+from spotweave.operators import filters, grouped, intervals, ml, phasing, signatures
 from spotweave.operators import read_features as read_level
 from spotweave.operators import reads as R
 from spotweave.plans import demo
@@ -301,9 +301,35 @@ def beta_binomial_sf(s, d):
     return _variants(s, d).select("chrom", "pos", "alt_count", "depth", r6(prob.beta_binomial_sf(F.col("alt_count").cast("double"), F.col("depth").cast("double"))).alias("p"))
 
 
+def _errors(s: SparkSession, d: str) -> DataFrame:
+    """(context, n): the spectrum of sites that look like errors."""
+    sites = E.classify_candidates(E.filter_min_info_depth(_sites(s, d))).where("is_error")
+    strand = F.when(F.col("pos") % 8 == 0, "-").otherwise("+")
+    known = sites.select(G.context_rna192(_letter((F.col("pos") + 1) % 4), F.col("ref"), F.col("alt1"), _letter((F.col("pos") + 2) % 4), strand).alias("context"))
+    return X.fill_spectrum(X.mutation_spectrum(known), X.all_contexts(s)).select("context", "n")
+
+
+def _signatures(s: SparkSession, d: str) -> DataFrame:
+    """(context, signature, value): three signatures out of the parts; the first leans to A>, the second to C>."""
+    part = demo.table(s, d, "part").select((F.col("p_partkey") % 192).cast("int").alias("place"), "p_size").join(X.all_contexts(s), "place")
+    first = lambda x: F.substring("context", 3, 1) == x
+    values = {"Signature1": F.col("p_size") * F.when(first("A"), 9).otherwise(1), "Signature2": (F.col("p_size") % 11) * F.when(first("C"), 9).otherwise(1), "Signature3": (F.col("p_size") * 7) % 13}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("signature"), v.cast("double").alias("value")) for n, v in values.items()]))
+    return part.select("context", each.alias("x")).groupBy("context", "x.signature").agg(F.sum("x.value").alias("value"))
+
+
+@query
+def signature_fit(s, d):
+    weights = signatures.signature_weights(_errors(s, d), _signatures(s, d))
+    return signatures.context_weights(_signatures(s, d), weights).select("context", r6("rweigh").alias("rweigh"))
+
+
 @query
 def hFDR(s, d):
-    return X.hfdr(_variants(s, d).withColumn("rweigh", F.lit(1.0) / (1 + F.col("pos") % 5))).select("chrom", "pos", r6("hfdr").alias("hfdr"))
+    known = _signatures(s, d)
+    weights = signatures.context_weights(known, signatures.signature_weights(_errors(s, d), known))
+    sites = _variants(s, d).join(context_rna192(s, d), ["chrom", "pos"]).join(weights, "context")
+    return X.hfdr(sites).select("chrom", "pos", r6("hfdr").alias("hfdr"))
 
 
 @query
