@@ -124,3 +124,12 @@ def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     own = F.get(logs, (a - F.greatest(col - other, F.lit(0))).cast("int"))
     total = F.aggregate(F.transform(F.array(F.struct(logs.alias("all"), own.alias("own"))), lambda s: F.transform(s["all"], lambda x: F.when(x <= s["own"] + 1e-7, F.exp(x)).otherwise(0.0)))[0], F.lit(0.0), lambda t, x: t + x)
     return F.least(F.lit(1.0), total)
+
+
+def chi_square_yates(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """p of the chi-square test of the table (a, b), (c, d) with Yates' correction, that moves no cell past its expectation; margins above 0."""
+    n, row, other, left, right = a + b + c + d, a + b, c + d, a + c, b + d
+    away = F.abs(a * d - b * c) / n  # the distance of each cell from its expectation
+    moved = F.greatest(away - 0.5, F.lit(0.0))
+    statistic = moved * moved * n * n * n / (row * other * left * right)
+    return erfc(F.sqrt(statistic / 2))

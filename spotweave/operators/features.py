@@ -75,14 +75,6 @@ def binom_cdf_ase(hits: DataFrame, keys: list[str], alpha: float = 0.05) -> Data
     return adjusted.groupBy(*keys).agg((F.max("p_adj") >= alpha).alias("ase"), F.max("p_adj").alias("p_adj"))
 
 
-def phase_classify(pairs: DataFrame, times: int = 5, least: int = 4) -> DataFrame:
-    """haplo of the counts n11, n12, n21, n22 of (mutant or not) x (SNP allele): 2 if each row has one clear allele and they differ, 3 if only the germline row is mixed, else 4."""
-    clear = lambda a, b: (F.col(a) + F.col(b) > least) & ((F.col(a) > times * F.col(b)) | (F.col(b) > times * F.col(a)))
-    mutant, germ = clear("n11", "n12"), clear("n21", "n22")
-    opposite = (F.col("n11") > F.col("n12")) != (F.col("n21") > F.col("n22"))
-    return pairs.withColumn("haplo", F.when(mutant & germ & opposite, 2).when(mutant & ~germ, 3).otherwise(4))
-
-
 def agg_phase_summary(pairs: DataFrame) -> DataFrame:
     """Per variant: support over its SNPs, and haplo at the nearest (least signed distance) and best supported one."""
     return pairs.groupBy(*KEY).agg(
@@ -116,14 +108,24 @@ def filter_pipeline(rows: DataFrame, filters: Mapping[str, Column]) -> DataFrame
     return sums.select(each.alias("x"), "total").select("x.filter", "x.passed", "total", (F.col("x.passed") / F.col("total")).alias("pass_rate"))
 
 
-def agg_site_spatial(spots: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Shares and averages over a site's spots."""
-    mutated = F.col("mut_prob") > threshold
+def linreg_r2(x: str, y: str) -> Column:
+    """The squared correlation of a group's y and x: 1 where x is constant, else 0 where y is."""
+    return F.when(F.min(x) == F.max(x), 1.0).when(F.min(y) == F.max(y), 0.0).otherwise(F.regr_r2(y, x))
+
+
+def agg_site_spatial(spots: DataFrame, vaf: float = 0.0, probability: float = 0.5, likelihood: float = 0.5) -> DataFrame:
+    """Shares and averages over a site's spots; spots without any of the values (depth, vaf, mut_prob, l_mosaic) are left out.
+
+    mut_rate needs a share of the mutant and a probability above their thresholds; mut_rate_vaf, mut_rate_prob and mut_rate_likelihood ask
+    for one each. num_mut_spots counts spots with any mutant. r2 is of mutant molecules against depth.
+    """
+    known = spots.where("depth is not null and vaf is not null and mut_prob is not null and l_mosaic is not null").withColumn("mutants", F.ceil(F.round(F.col("depth") * F.col("vaf"), 9)))
     share = lambda c: F.avg(c.cast("double"))
-    return spots.groupBy("chrom", "pos").agg(
-        F.count("*").alias("num_spots"), F.count_if(mutated).alias("num_mut_spots"), share(mutated).alias("mut_rate"), F.max("vaf").alias("vaf_max"), F.avg("vaf").alias("vaf_mean"),
-        F.avg(F.when(F.col("vaf") > 0, F.col("vaf"))).alias("vaf_mean_mut"), F.expr("percentile(case when vaf > 0 then vaf end, 0.5)").alias("vaf_median_mut"), F.regr_r2("alt", "depth").alias("r2"),
-    )
+    has, sure, likely = F.col("vaf") > vaf, F.col("mut_prob") > probability, F.col("l_mosaic") > likelihood
+    return known.groupBy("chrom", "pos").agg(
+        F.count("*").alias("num_spots"), F.count_if(F.col("vaf") > 0).alias("num_mut_spots"), share(has & sure).alias("mut_rate"), share(sure).alias("mut_rate_prob"), share(likely).alias("mut_rate_likelihood"), share(has).alias("mut_rate_vaf"),
+        F.max("vaf").alias("vaf_max"), F.avg("vaf").alias("vaf_mean"), F.avg(F.when(F.col("vaf") > 0, F.col("vaf"))).alias("vaf_mean_mut"), F.expr("percentile(case when vaf > 0 then vaf end, 0.5)").alias("vaf_median_mut"), linreg_r2("depth", "mutants").alias("r2"),
+    )
 
 
 def agg_bam_qc(reads: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spotweave.plans.oracle_reads import read_features
+from spotweave.plans.oracle_reads import ERFC, read_features
 
 _B = "ATCG"
 
@@ -90,15 +90,24 @@ st2 AS (SELECT 0 AS i, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3 U
 wt AS (SELECT CASE WHEN w1 >= 0.06 THEN w1 ELSE 0 END AS w1, CASE WHEN w2 >= 0.06 THEN w2 ELSE 0 END AS w2, CASE WHEN w3 >= 0.06 THEN w3 ELSE 0 END AS w3 FROM st2 WHERE i = 4000),
 rw AS (SELECT context, w1 * s1 + w2 * s2 + w3 * s3 AS mixed FROM sn2, wt)"""
 _BB = "greatest(0, 1 - list_sum(list_transform(range(0, CAST(alt_count AS BIGINT)), lambda i: exp(lgamma(depth + 1.0) - lgamma(i + 1.0) - lgamma(depth - i + 1.0) + lgamma(i + 0.107) + lgamma(depth - i + 47.58) - lgamma(depth + 0.107 + 47.58) - lgamma(0.107) - lgamma(47.58) + lgamma(0.107 + 47.58)))))"
-_PAIRS = _EVENTS + """, pr AS (SELECT chrom, pos, umi, n11, n12, n21 // (1 + pos % 16 * 4) AS n21, n22 FROM (SELECT chrom, pos, umi, count(*) FILTER (base <> ref AND NOT is_reverse) AS n11, count(*) FILTER (base <> ref AND is_reverse) AS n12,
-  count(*) FILTER (base = ref AND NOT is_reverse) AS n21, count(*) FILTER (base = ref AND is_reverse) AS n22 FROM ev GROUP BY chrom, pos, umi)),
-pc AS (SELECT *, CASE WHEN m AND g AND (n11 > n12) <> (n21 > n22) THEN 2 WHEN m AND NOT g THEN 3 ELSE 4 END AS haplo FROM (SELECT *, n11 + n12 > 4 AND (n11 > 5 * n12 OR n12 > 5 * n11) AS m, n21 + n22 > 4 AND (n21 > 5 * n22 OR n22 > 5 * n21) AS g FROM pr))"""
 _RULES = _VAR + """, ru AS (SELECT *, coalesce(nullif(concat_ws(';', CASE WHEN alt_count < 3 THEN 'ALT_ALLELE_COUNT' END, CASE WHEN alt_count / depth < 0.01 THEN 'LOW_VAF' END, CASE WHEN alt_count / depth > 0.3 THEN 'HIGH_VAF' END,
   CASE WHEN spot_number < 30 THEN 'LOW_SPOT_NUM' END, CASE WHEN pos % 20 = 0 THEN 'CLUSTER_EVENTS' END), ''), 'PASS') AS filter FROM va)"""
 _GERM = "ge AS (SELECT 'chr' || CAST(1 + p_partkey % 4 AS VARCHAR) AS chrom, p_partkey AS pos, p_size % 5 <> 0 AS het, p_partkey * 7 % 60 AS count1, p_partkey * 13 % 60 AS count2, p_partkey % 9 / 10 AS prior1, p_partkey % 7 / 10 AS prior2 FROM part)"
-_CROSS = _MUT + ", sr AS (SELECT DISTINCT chrom, pos AS snp_pos, (pos - 1000) // 80 AS region FROM ev WHERE pos % 16 = 12), cr AS (SELECT chrom, region, pos, snp_pos FROM (SELECT chrom, pos, (pos - 1000) // 80 AS region FROM mu) JOIN sr USING (chrom, region) WHERE pos <> snp_pos)"
+_MOSAIC = """mz AS (SELECT chrom, pos, ref, (pos - 1000) // 80 AS region, CASE WHEN het THEN [ref, allele2] ELSE [ref] END AS germ, CASE WHEN het THEN allele3 ELSE allele2 END AS mutant, het FROM (SELECT *, count2 / depth >= 0.3 AS het FROM al) WHERE CASE WHEN het THEN count3 ELSE count2 END > 0)"""
+_CROSS = _CONS + _ALLELES[len(_EVENTS) :] + ", " + _MOSAIC + ", cr AS (SELECT a.chrom, a.region, a.pos, b.pos AS snp_pos FROM mz a JOIN mz b ON a.chrom = b.chrom AND a.region = b.region AND b.het AND a.pos <> b.pos)"
 _HAPLO = _CROSS + ", ha AS (SELECT cr.chrom, cr.pos, snp_pos, m.allele AS base, g.allele AS snp_base, count(*) AS n FROM cr JOIN cs m ON m.chrom = cr.chrom AND m.pos = cr.pos AND m.phred >= 20 JOIN cs g ON g.chrom = cr.chrom AND g.pos = snp_pos AND g.barcode = m.barcode AND g.umi = m.umi AND g.phred >= 20 GROUP BY ALL)"
 
+# Of 100 tosses, 40 to 60 heads have a two-sided p above .05.
+_GATE = _HAPLO + """, hs AS (SELECT chrom, pos, snp_pos, snp_base, sum(n) AS n, instr('ATCG', snp_base) AS i FROM ha GROUP BY ALL), hr AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos, snp_pos ORDER BY n DESC, i) AS k, sum(n) OVER (PARTITION BY chrom, pos, snp_pos) AS dp FROM hs),
+gt AS (SELECT chrom, pos, snp_pos, max(snp_base) FILTER (k = 1) AS h1, max(snp_base) FILTER (k = 2) AS h2, CAST(any_value(dp) AS BIGINT) AS dp, count(*) FILTER (k <= 2 AND ceil(100 * n / dp) BETWEEN 40 AND 60) = 2 AS balanced FROM hr GROUP BY chrom, pos, snp_pos)"""
+_CELLS = ", ".join(f"CAST(coalesce(sum(n) FILTER (base = {x} AND snp_base = {h}), 0) AS BIGINT) AS {c}{h}" for c, x in (("g1", "germ[1]"), ("g2", "germ[2]"), ("m", "mutant")) for h in ("h1", "h2"))
+_PHASE = _GATE + f""", pa AS (SELECT ha.chrom, ha.pos, ha.snp_pos, germ, mutant, {_CELLS} FROM ha JOIN gt USING (chrom, pos, snp_pos) JOIN mz ON mz.chrom = ha.chrom AND mz.pos = ha.pos WHERE balanced AND h2 IS NOT NULL GROUP BY ALL),
+pd AS (SELECT *, g1h1 + g1h2 + g2h1 + g2h2 + mh1 + mh2 AS dp, mh1 + mh2 AS mut_allele FROM pa WHERE mh1 + mh2 > 0),
+pc AS (SELECT *, CASE len(germ)
+  WHEN 1 THEN CASE WHEN ((g1h1 > 5 * g1h2 AND mh2 > 5 * mh1) OR (g1h2 > 5 * g1h1 AND mh1 > 5 * mh2)) AND dp > 4 THEN 2
+    WHEN NOT (g1h1 > 5 * g1h2 OR g1h2 > 5 * g1h1) AND (mh2 > 5 * mh1 OR mh1 > 5 * mh2) AND mut_allele >= 2 AND ((g1h1 > g1h2 AND mh1 < mh2) OR (g1h2 > g1h1 AND mh2 < mh1)) THEN 3 ELSE 4 END
+  WHEN 2 THEN CASE WHEN NOT ((g1h1 > 5 * g1h2 AND g2h2 > 5 * g2h1) OR (g1h2 > 5 * g1h1 AND g2h1 > 5 * g2h2)) OR mut_allele < 2 THEN 4 WHEN mh1 > 5 * mh2 OR mh2 > 5 * mh1 THEN 3 ELSE 4 END END AS haplo FROM pd)"""
+
 ORACLE_SQL: dict[str, str] = {
     "classify_candidates": _w(_ALLELES, "SELECT * FROM (SELECT chrom, pos, ref, allele2 AS alt1, count2 >= 5 AND depth >= 30 AND count2 / depth >= 0.001 AND count2 / depth <= 0.6 AS is_somatic, depth >= 100 AND count1 / depth >= 0.95 AND count2 >= 5 AS is_error, depth AS total_depth, count1 AS ref_depth, count2 AS alt1_depth, round(count2 / depth, 6) AS vaf FROM al WHERE depth >= 30) WHERE is_somatic OR is_error"),
     "order_alleles_by_count": _w(_ALLELES, "SELECT * FROM al"),
@@ -142,12 +151,22 @@ ORACLE_SQL: dict[str, str] = {
     "signature_fit": _w(_VAR + _ALLELES[len(_EVENTS) :] + ", " + _FIT, "SELECT context, CASE WHEN mixed > 0 THEN round(1 / 192 / mixed, 6) ELSE CAST('inf' AS DOUBLE) END AS rweigh FROM rw", True),
     "binom_cdf_ase": _w(_MUT + f", hp AS (SELECT cl.chrom, cl.pos, greatest(0, 1 - ({_sf(f'(({_COUNT}) + 1)', _DEPTH, '0.1')})) AS p FROM cl JOIN mu ON cl.chrom = mu.chrom AND cl.pos = mu.pos WHERE {_DEPTH} > 0), hq AS (SELECT *, p * count(*) OVER (PARTITION BY chrom, pos) / k AS q FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY p) AS k FROM hp)), ha AS (SELECT chrom, pos, least(1, min(q) OVER (PARTITION BY chrom, pos ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS a FROM hq)", "SELECT chrom, pos, max(a) >= 0.05 AS ase, round(max(a), 6) AS p_adj FROM ha GROUP BY chrom, pos"),
     "bh_fdr": "WITH x AS (SELECT p_size AS g, p_partkey, (p_partkey * 7919 % 1009 + 1) / 1010 AS p FROM part WHERE p_partkey % 11 <> 0), y AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS k, count(*) OVER (PARTITION BY g) AS n FROM x), z AS (SELECT p_partkey, least(1, min(p * n / k) OVER (PARTITION BY g ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS p_adj FROM y) SELECT part.p_partkey, round(p_adj, 6) AS p_adj FROM part LEFT JOIN z ON z.p_partkey = part.p_partkey",
-    "phase_classify": _w(_PAIRS, "SELECT chrom, pos, umi, n11, n12, n21, n22, haplo FROM pc"),
-    "agg_phase_summary": _w(_PAIRS + ", pq AS (SELECT chrom, pos, CAST(umi AS BIGINT) AS s, CAST(umi AS BIGINT) * 13 % 10 - 5 AS d, n11 + n12 AS m, haplo FROM pc), ps AS (SELECT chrom, pos, max(m) AS max_support, CAST(sum(m) AS BIGINT) AS sum_support, arg_min(haplo, d * 1000 + s) AS nearest_haplo, arg_max(haplo, m * 1000 - s) AS most_haplo FROM pq GROUP BY chrom, pos)", "SELECT *, CASE WHEN most_haplo = nearest_haplo THEN most_haplo WHEN most_haplo = 3 OR nearest_haplo = 3 THEN 3 ELSE least(most_haplo, nearest_haplo) END AS haplo FROM ps"),
+    "phase_classify": _w(_PHASE, "SELECT chrom, pos, snp_pos, mutant, g1h1, g1h2, g2h1, g2h2, mh1, mh2, dp, mut_allele, haplo, CASE haplo WHEN 2 THEN 'heterzygous' WHEN 3 THEN 'mut_mosaic' ELSE 'artifacts' END AS annotated_type FROM pc"),
+    "mutation_origin": _w(_PHASE, """SELECT chrom, pos, snp_pos, array_to_string(germ, ',') AS germline, CASE WHEN haplo <> 3 THEN NULL WHEN len(germ) = 1 THEN germ[1]
+      WHEN mh1 > mh2 THEN CASE WHEN g1h1 > g2h1 THEN germ[1] ELSE germ[2] END WHEN mh1 < mh2 THEN CASE WHEN g1h2 > g2h2 THEN germ[1] ELSE germ[2] END END AS mut_origin FROM pc"""),
+    "cluster_events": _w(_CROSS + """, nn AS (SELECT a.chrom, a.pos AS pos_i, b.pos AS pos_j, a.ref AS r1, a.mutant AS m1, b.ref AS r2, b.mutant AS m2 FROM mz a JOIN mz b ON a.chrom = b.chrom AND b.pos - a.pos BETWEEN 1 AND 24 AND NOT a.het AND NOT b.het),
+      c0 AS (SELECT nn.chrom, pos_i, pos_j, count(*) FILTER (x.allele = r1 AND y.allele = r2) AS rr, count(*) FILTER (x.allele = r1 AND y.allele = m2) AS ra, count(*) FILTER (x.allele = m1 AND y.allele = r2) AS ar, count(*) FILTER (x.allele = m1 AND y.allele = m2) AS aa
+        FROM nn JOIN cs x ON x.chrom = nn.chrom AND x.pos = pos_i AND x.phred >= 20 JOIN cs y ON y.chrom = nn.chrom AND y.pos = pos_j AND y.barcode = x.barcode AND y.umi = x.umi AND y.phred >= 20 GROUP BY ALL), ce AS (SELECT * FROM c0 WHERE rr + ra + ar + aa >= 50),
+      fi AS (SELECT *, rr + ra + ar + aa AS n, list_transform(range(greatest(0, rr - aa), least(rr + ra, rr + ar) + 1), lambda k: lgamma(rr + ra + 1.0) + lgamma(ar + aa + 1.0) + lgamma(rr + ar + 1.0) + lgamma(ra + aa + 1.0) - lgamma(rr + ra + ar + aa + 1.0) - lgamma(k + 1.0) - lgamma(rr + ra - k + 1.0) - lgamma(rr + ar - k + 1.0) - lgamma(aa - rr + k + 1.0)) AS t FROM ce),
+      ch AS (SELECT *, list_sum(list_transform([[rr, (rr + ra) * (rr + ar) / n], [ra, (rr + ra) * (ra + aa) / n], [ar, (ar + aa) * (rr + ar) / n], [aa, (ar + aa) * (ra + aa) / n]], lambda c: pow(greatest(abs(c[1] - c[2]) - 0.5, 0), 2) / c[2])) AS chi FROM fi),
+      pv AS (SELECT *, sqrt(chi / 2) AS x FROM ch), pw AS (SELECT *, CASE WHEN least(rr, ra, ar, aa) < 5 THEN least(1, list_sum(list_filter(list_transform(t, lambda z: exp(z)), lambda z: z <= exp(t[rr - greatest(0, rr - aa) + 1]) * (1 + 1e-7)))) ELSE """ + ERFC + """ END AS p FROM pv)""",
+      "SELECT chrom, pos_i, pos_j, rr::DOUBLE AS rr, ra::DOUBLE AS ra, ar::DOUBLE AS ar, aa::DOUBLE AS aa, round(p, 6) AS p, p < 0.05 AS event FROM pw"),
+    "agg_phase_summary": _w(_PHASE + ", ps AS (SELECT chrom, pos, CAST(max(mut_allele) AS BIGINT) AS max_support, CAST(sum(mut_allele) AS BIGINT) AS sum_support, arg_min(haplo, (snp_pos - pos) * 100000 + snp_pos) AS nearest_haplo, arg_max(haplo, mut_allele * 100000 - snp_pos) AS most_haplo FROM pc GROUP BY chrom, pos)", "SELECT *, CASE WHEN most_haplo = nearest_haplo THEN most_haplo WHEN most_haplo = 3 OR nearest_haplo = 3 THEN 3 ELSE least(most_haplo, nearest_haplo) END AS haplo FROM ps"),
     "rule_filtration": _w(_RULES, "SELECT chrom, pos, ref, alt, filter FROM ru"),
     "filter_pipeline": "SELECT filter, passed, total, round(passed / total, 6) AS pass_rate FROM (SELECT 'dear' AS filter, count(*) FILTER (o_totalprice > 100000) AS passed, count(*) AS total FROM orders UNION ALL SELECT 'open', count(*) FILTER (o_orderstatus = 'O'), count(*) FROM orders)",
     "join_wide_features": _w(_VAR, "SELECT chrom, pos, ref, alt, spot_number, CASE WHEN pos % 8 = 0 THEN alt_count END AS feature_a, CASE WHEN pos % 12 = 0 THEN depth END AS feature_b FROM va"),
-    "agg_site_spatial": _w(_SPOT, "SELECT chrom, pos, count(*) AS num_spots, count(*) FILTER (alt > 0) AS num_mut_spots, round(avg((alt > 0)::INT), 6) AS mut_rate, round(max(vaf), 6) AS vaf_max, round(avg(vaf), 6) AS vaf_mean, round(avg(vaf) FILTER (vaf > 0), 6) AS vaf_mean_mut, round(quantile_cont(vaf, 0.5) FILTER (vaf > 0), 6) AS vaf_median_mut, round(CASE WHEN var_pop(depth) = 0 THEN NULL WHEN var_pop(alt) = 0 THEN 1 ELSE pow(corr(alt, depth), 2) END, 6) AS r2 FROM ss GROUP BY chrom, pos"),
+    "agg_site_spatial": _w(_SPOT + ", sq AS (SELECT chrom, pos, CASE WHEN pos % 5 = 0 THEN 4 ELSE depth END AS depth, vaf, ceil(round(CASE WHEN pos % 5 = 0 THEN 4 ELSE depth END * vaf, 9)) AS m, (pos * 7 + k * 3) % 10 / 10 AS pr, (pos + k * 5) % 8 / 10 AS li FROM (SELECT *, CAST(substr(barcode, 3) AS BIGINT) AS k FROM ss) WHERE k % 9 > 0)",
+      "SELECT chrom, pos, count(*) AS num_spots, count(*) FILTER (vaf > 0) AS num_mut_spots, round(avg((vaf > 0 AND pr > 0.5)::INT), 6) AS mut_rate, round(avg((pr > 0.5)::INT), 6) AS mut_rate_prob, round(avg((li > 0.5)::INT), 6) AS mut_rate_likelihood, round(avg((vaf > 0)::INT), 6) AS mut_rate_vaf, round(max(vaf), 6) AS vaf_max, round(avg(vaf), 6) AS vaf_mean, round(avg(vaf) FILTER (vaf > 0), 6) AS vaf_mean_mut, round(quantile_cont(vaf, 0.5) FILTER (vaf > 0), 6) AS vaf_median_mut, round(CASE WHEN count(DISTINCT depth) <= 1 THEN 1 WHEN count(DISTINCT m) = 1 THEN 0 ELSE pow(corr(m, depth), 2) END, 6) AS r2 FROM sq GROUP BY chrom, pos"),
     "sample_fixed_n": _w(_EVENTS, "SELECT chrom, pos, read_id FROM (SELECT chrom, pos, read_id, row_number() OVER (PARTITION BY chrom, pos ORDER BY (read_id * 7919 + 42) % 104729, read_id) AS k FROM ev) WHERE k <= 20"),
     "agg_bam_qc": "SELECT l_suppkey % 4 * 85 AS mapq, l_linenumber % 6 AS nm, count(*) AS n, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS share FROM lineitem GROUP BY 1, 2",
     "phylo_matrix": _w(_SPOT, "SELECT g.chrom, g.pos, g.barcode, coalesce(ss.alt, 0) AS alt, coalesce(depth, 0) AS total, CASE WHEN ss.alt > 0 THEN 1 WHEN depth > 0 THEN 0 END AS state FROM (SELECT chrom, pos, bc.barcode FROM (SELECT chrom, pos FROM ss GROUP BY ALL HAVING count(*) > 3), bc) g LEFT JOIN ss ON ss.chrom = g.chrom AND ss.pos = g.pos AND ss.barcode = g.barcode"),
@@ -174,9 +193,7 @@ ORACLE_SQL: dict[str, str] = {
     "agg_cluster_spatial": _w(_SPOT, "SELECT chrom, pos, cluster, count(*) AS spot_count, CAST(sum(depth) AS BIGINT) AS depth, CAST(sum(alt) AS BIGINT) AS mutant_allele_num, count(*) FILTER (alt > 0) AS has_mutant_allele, count(*) FILTER (alt > 0) AS high_prob, round(avg(vaf), 6) AS vaf, round(sum(alt) / sum(depth), 6) AS vaf_unnom, round(count(*) FILTER (alt > 0) / count(*), 6) AS mutant_prop_vaf, round(count(*) FILTER (alt > 0) / count(*), 6) AS mutant_prop_prob FROM ss GROUP BY ALL"),
     "cross_mosaic_hsnp": _w(_CROSS, "SELECT chrom, region, pos, snp_pos FROM cr"),
     "agg_phase_haplotypes": _w(_HAPLO, "SELECT chrom, pos, snp_pos, base, snp_base, n FROM ha"),
-    "haplotype_balance_gate": _w(_HAPLO + ", hs AS (SELECT chrom, pos, snp_pos, snp_base, sum(n) AS n, instr('ATCG', snp_base) AS i FROM ha GROUP BY ALL), hr AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos, snp_pos ORDER BY n DESC, i) AS k, sum(n) OVER (PARTITION BY chrom, pos, snp_pos) AS dp FROM hs)",
-        # Of 100 tosses, 40 to 60 heads have a two-sided p above .05.
-        "SELECT chrom, pos, snp_pos, max(snp_base) FILTER (k = 1) AS h1, max(snp_base) FILTER (k = 2) AS h2, CAST(any_value(dp) AS BIGINT) AS dp, count(*) FILTER (k <= 2 AND ceil(100 * n / dp) BETWEEN 40 AND 60) = 2 AS balanced FROM hr GROUP BY chrom, pos, snp_pos"),
+    "haplotype_balance_gate": _w(_GATE, "SELECT chrom, pos, snp_pos, h1, h2, dp, balanced FROM gt"),
     "discordant_prop": "SELECT p_partkey, round(CASE WHEN p_partkey % 8 = 0 THEN 0 WHEN p_partkey % 2 = 0 THEN CASE WHEN v3 < v4 THEN coalesce(v3 / nullif(v1 + v3, 0), 0) ELSE coalesce(v4 / nullif(v2 + v4, 0), 0) END WHEN v2 < v3 THEN coalesce(v3 / nullif(v1 + v3, 0), 0) WHEN v2 > 0 THEN 1 ELSE 0 END, 6)::DOUBLE AS prop FROM (SELECT p_partkey, p_partkey % 50 AS v1, p_partkey * 3 % 17 AS v2, p_partkey * 5 % 11 AS v3, p_partkey * 7 % 13 AS v4 FROM part)",
     "fisher_2x2": """WITH x AS (SELECT l_suppkey, l_linenumber, count(*) FILTER (l_quantity > 25 AND l_returnflag = 'A') AS a, count(*) FILTER (l_quantity > 25) AS r, count(*) FILTER (l_returnflag = 'A') AS c, count(*) AS n FROM lineitem GROUP BY ALL),
   y AS (SELECT *, list_transform(range(greatest(0, c - (n - r)), least(r, c) + 1), lambda k: lgamma(r + 1.0) - lgamma(k + 1.0) - lgamma(r - k + 1.0) + lgamma(n - r + 1.0) - lgamma(c - k + 1.0) - lgamma(n - r - c + k + 1.0) - lgamma(n + 1.0) + lgamma(c + 1.0) + lgamma(n - c + 1.0)) AS t FROM x)

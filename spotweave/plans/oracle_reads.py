@@ -23,7 +23,7 @@ ob AS (SELECT chrom, pos, ref, alt, 'BC' || (cu % 50) AS barcode, CAST(id % 10 A
        FROM hit JOIN kd USING (kind) WHERE gone OR (k * 7 + id) % 45 <= 40),
 ev AS (SELECT * FROM ob WHERE base IN ('A', 'T', 'C', 'G'))"""
 
-_ERFC = f"""CASE WHEN x < 0.05 THEN 1 - 2 / sqrt(pi()) * (x - x ** 3 / 3 + x ** 5 / 10 - x ** 7 / 42 + x ** 9 / 216)
+ERFC = f"""CASE WHEN x < 0.05 THEN 1 - 2 / sqrt(pi()) * (x - x ** 3 / 3 + x ** 5 / 10 - x ** 7 / 42 + x ** 9 / 216)
   ELSE x * exp(-x * x) / pi() * (0.5 / (x * x) + {" + ".join(f"exp(-{k * k / 4}) / (x * x + {k * k / 4})" for k in range(1, 14))}) + CASE WHEN x < {2 * math.pi!r} THEN 2 / (1 - exp({4 * math.pi!r} * x)) ELSE 0 END END"""
 
 _N = {b: f"n{b}" for b in _B}
@@ -63,7 +63,7 @@ va AS ({' UNION ALL '.join(values)}),
 rk AS (SELECT *, rank() OVER (PARTITION BY chrom, pos, ref, alt, t ORDER BY v) + (count(*) OVER (PARTITION BY chrom, pos, ref, alt, t, v) - 1) / 2 AS r FROM va),
 su AS (SELECT chrom, pos, ref, alt, t, CAST(count(*) FILTER (x) AS DOUBLE) AS n, CAST(count(*) FILTER (NOT x) AS DOUBLE) AS m, sum(r) FILTER (x) AS r FROM rk GROUP BY ALL),
 zs AS (SELECT *, (r - n * (n + m + 1) / 2) / sqrt(n * m * (n + m + 1) / 12) AS z, abs((r - n * (n + m + 1) / 2) / sqrt(n * m * (n + m + 1) / 12)) / sqrt(2) AS x FROM su WHERE n > 0 AND m > 0),
-ps AS (SELECT *, {_ERFC} AS e, 2 * (r - n * (n + 1) / 2) / (n * m) - 1 AS rbc FROM zs),
+ps AS (SELECT *, {ERFC} AS e, 2 * (r - n * (n + 1) / 2) / (n * m) - 1 AS rbc FROM zs),
 pp AS (SELECT *, CASE WHEN t NOT IN {_GREATER} THEN least(1.0, e) WHEN z >= 0 THEN e / 2 ELSE 1 - e / 2 END AS p FROM ps),
 pv AS (SELECT chrom, pos, ref, alt, {pivot} FROM pp GROUP BY ALL),
 ce AS (SELECT chrom, pos, ref, alt, count(*) AS dp, count(*) FILTER (gone) AS del, count(*) FILTER (base = ref) AS nr, count(*) FILTER (base = alt) AS na, count(*) FILTER (base = ref AND mq = 255) AS rq, count(*) FILTER (base = alt AND mq = 255) AS aq, {cells},

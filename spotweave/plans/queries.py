@@ -18,6 +18,7 @@ from spotweave.operators import reads as R
 from spotweave.plans import demo
 from spotweave.session import ship
 from spotweave.sources.text import parse_pileup_bases, vcf_lines
+from spotweave.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -344,19 +345,38 @@ def bh_fdr(s, d):
     return X.bh_fdr(p, ["g"]).select("p_partkey", r6("p_adj").alias("p_adj"))
 
 
-def _pairs(s: SparkSession, d: str) -> DataFrame:
-    e = demo.events(s, d).groupBy("chrom", "pos", "umi").agg(F.count_if((F.col("base") != F.col("ref")) & ~F.col("is_reverse")).alias("n11"), F.count_if((F.col("base") != F.col("ref")) & F.col("is_reverse")).alias("n12"), F.count_if((F.col("base") == F.col("ref")) & ~F.col("is_reverse")).alias("n21"), F.count_if((F.col("base") == F.col("ref")) & F.col("is_reverse")).alias("n22"))
-    return e.withColumn("n21", F.floor(F.col("n21") / (1 + F.col("pos") % 16 * 4)))
+def _mosaics(s: SparkSession, d: str) -> DataFrame:
+    """(chrom, pos, ref, region, germline, mutant, het): a site with a frequent second allele is heterozygous, and its third one is the mutant."""
+    x = E.order_alleles_by_count(_sites(s, d)).withColumn("het", F.col("count2") / F.col("depth") >= 0.3)
+    x = x.where(F.when(F.col("het"), F.col("count3")).otherwise(F.col("count2")) > 0)
+    germline = F.when(F.col("het"), F.array("ref", "allele2")).otherwise(F.array("ref"))
+    return x.select("chrom", "pos", "ref", F.floor((F.col("pos") - 1000) / 80).alias("region"), germline.alias("germline"), F.when(F.col("het"), F.col("allele3")).otherwise(F.col("allele2")).alias("mutant"), "het")
+
+
+def _phased(s: SparkSession, d: str) -> DataFrame:
+    haplotypes = written(_haplotypes(s, d))
+    return phasing.mutation_origin(phasing.phase_classify(phasing.phase_counts(haplotypes, phasing.haplotype_balance_gate(haplotypes), _mosaics(s, d))))
 
 
 @query
 def phase_classify(s, d):
-    return X.phase_classify(_pairs(s, d)).select("chrom", "pos", "umi", "n11", "n12", "n21", "n22", "haplo")
+    return _phased(s, d).select("chrom", "pos", "snp_pos", "mutant", "g1h1", "g1h2", "g2h1", "g2h2", "mh1", "mh2", "dp", "mut_allele", "haplo", "annotated_type")
+
+
+@query
+def mutation_origin(s, d):
+    return _phased(s, d).select("chrom", "pos", "snp_pos", F.array_join("germline", ",").alias("germline"), "mut_origin")
+
+
+@query
+def cluster_events(s, d):
+    sites = _mosaics(s, d).where("not het").select("chrom", "pos", F.get("germline", F.lit(0)).alias("germline"), "mutant")
+    return phasing.cluster_events(intervals.near_pairs(sites.select("chrom", "pos"), 24), _calls(s, d), sites).withColumn("p", r6("p"))
 
 
 @query
 def agg_phase_summary(s, d):
-    p = X.phase_classify(_pairs(s, d)).select("chrom", "pos", F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.col("umi").cast("long").alias("snp_pos"), (F.col("umi").cast("long") * 13 % 10 - 5).alias("distance"), (F.col("n11") + F.col("n12")).alias("mut_allele"), "haplo")
+    p = _phased(s, d).join(_sites(s, d).select("chrom", "pos", "ref"), ["chrom", "pos"]).select("chrom", "pos", "ref", F.col("mutant").alias("alt"), "snp_pos", (F.col("snp_pos") - F.col("pos")).alias("distance"), "mut_allele", "haplo")
     out = X.agg_phase_summary(p)
     return out.select("chrom", "pos", "max_support", "sum_support", "nearest_haplo", "most_haplo", X.win_merge_haplotype(F.col("most_haplo"), F.col("nearest_haplo")).alias("haplo"))
 
@@ -390,8 +410,10 @@ def _spots(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def agg_site_spatial(s, d):
-    out = X.agg_site_spatial(_spots(s, d))
-    return out.select("chrom", "pos", "num_spots", "num_mut_spots", *[r6(c).alias(c) for c in ("mut_rate", "vaf_max", "vaf_mean", "vaf_mean_mut", "vaf_median_mut", "r2")])
+    spot = F.substring("barcode", 3, 9).cast("long")
+    spots = _spots(s, d).withColumns({"mut_prob": (F.col("pos") * 7 + spot * 3) % 10 / 10, "l_mosaic": F.when(spot % 9 > 0, (F.col("pos") + spot * 5) % 8 / 10)})
+    out = X.agg_site_spatial(spots.withColumn("depth", F.when(F.col("pos") % 5 == 0, 4).otherwise(F.col("depth"))))
+    return out.select("chrom", "pos", "num_spots", "num_mut_spots", *[r6(c).alias(c) for c in ("mut_rate", "mut_rate_prob", "mut_rate_likelihood", "mut_rate_vaf", "vaf_max", "vaf_mean", "vaf_mean_mut", "vaf_median_mut", "r2")])
 
 
 @query
@@ -584,13 +606,17 @@ def agg_cluster_spatial(s, d):
 
 @query
 def cross_mosaic_hsnp(s, d):
-    region = F.floor((F.col("pos") - 1000) / 80).alias("region")
-    return phasing.cross_mosaic_hsnp(_mutants(s, d).select("chrom", "pos", region), _sites(s, d).where("pos % 16 = 12").select("chrom", "pos", region))
+    sites = _mosaics(s, d)
+    return phasing.cross_mosaic_hsnp(sites.select("chrom", "pos", "region"), sites.where("het").select("chrom", "pos", "region"))
+
+
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    """(chrom, pos, molecule, base) of molecules of sufficient quality."""
+    return _consensus(s, d).select("chrom", "pos", F.concat_ws("_", "barcode", "umi").alias("molecule"), F.when(F.col("phred") >= 20, F.col("allele")).alias("base"))
 
 
 def _haplotypes(s: SparkSession, d: str) -> DataFrame:
-    calls = _consensus(s, d).select("chrom", "pos", F.concat_ws("_", "barcode", "umi").alias("molecule"), F.when(F.col("phred") >= 20, F.col("allele")).alias("base"))
-    return phasing.agg_phase_haplotypes(cross_mosaic_hsnp(s, d), calls)
+    return phasing.agg_phase_haplotypes(cross_mosaic_hsnp(s, d), written(_calls(s, d)))
 
 
 @query
