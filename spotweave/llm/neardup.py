@@ -4,7 +4,7 @@ A document's set is that of its distinct 5-word shingles (words: `[^\\x20\\x09-\
 shorter text has its whole word sequence as its one element; a text without words has the empty set and links
 with nothing. Two documents are linked if 100 * intersection >= 75 * union; a component is what links reach.
 
-1. One scan gives each document its set's size, a 128-bit sum of its set, and HyperMinHash registers: element
+1. One scan gives each document its set's size, two hashes of its set, 128 bits in all, and HyperMinHash registers: element
    hashes fall into 128 buckets, each keeps its least hash as a leading-zero count and mantissa bits. An empty
    bucket takes the register of the full bucket with the least fixed priority, so small sets fill all buckets.
 2. Documents with the same set become one class before anything is compared.
@@ -110,28 +110,30 @@ def _bands(registers: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, class, registers, bands): one row a document; class is null for empty sets."""
+    """(doc_id, n_shingles, class, check, registers, bands): one row a document; class and check, two hashes of the set, are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            n, key, registers, bands = [], [], [], []
+            n, key, check, registers, bands = [], [], [], [], []
             for s in _sets(batch.column("text"), width):
                 n.append(len(s))
                 if not len(s):
-                    key.append(None), registers.append(None), bands.append(None)
+                    key.append(None), check.append(None), registers.append(None), bands.append(None)
                     continue
                 r = _registers(s)
-                key.append(_class(s)), registers.append(_compress(r).tobytes()), bands.append(signed(_bands(r)))
-            yield pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "registers", "bands"])
+                one, other = _class(s)
+                key.append(one), check.append(other), registers.append(_compress(r).tobytes()), bands.append(signed(_bands(r)))
+            yield pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "check", "registers", "bands"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, class long, registers binary, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, class long, check long, registers binary, bands array<long>")
 
 
-def _class(s: np.ndarray) -> int:
-    """One hash of a whole set."""
+def _class(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole set, which don't depend on each other."""
     a, b = np.add.reduce(mix(s + _U(1))), np.add.reduce(mix(s ^ _U(0x5851F42D4C957F2D)))
-    return int(signed(mix(np.array([a ^ mix(np.array([b + _U(len(s))]))[0]])))[0])
+    one, other = signed(mix(np.array([a + _U(len(s)), b ^ _U(len(s))])))
+    return int(one), int(other)
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -139,7 +141,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [(_class(s), s.tobytes()) if len(s) else (0, b"") for s in _sets(batch.column("text"), width)]
+            found = [(_class(s)[0], s.tobytes()) if len(s) else (0, b"") for s in _sets(batch.column("text"), width)]
             yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["node", "elements"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(nodes.select(F.col("doc_id").alias("id")), "id", "left_semi")
@@ -169,8 +171,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = _needed(threshold)
     signed_docs = written(signatures(docs, id_col, text_col, width))
     filled = signed_docs.where("class is not null and doc_id is not null")
-    classes = filled.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    nodes = written(classes.join(filled, ["class", "doc_id"]).select(F.col("class").alias("node"), "doc_id", "registers", "bands").dropDuplicates(["node"]))
+    classes = filled.groupBy("class").agg(F.min(F.struct("check", "doc_id")).alias("least")).select("class", "least.*")  # sets of another check are alone
+    nodes = written(classes.join(filled, ["class", "check", "doc_id"]).select(F.col("class").alias("node"), "check", "doc_id", "registers", "bands").dropDuplicates(["node"]))
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("key", "node", (F.col("band") >= FIRST_BANDS).cast("int").alias("round"))
 
     def bodies(asked: DataFrame) -> DataFrame:
@@ -183,10 +185,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = connect(keys, bodies, _similar(threshold), _sketches, alike, rounds=2, group=GROUP)
 
-    named = nodes.select("node", F.col("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("node", "check", F.col("doc_id").alias("least")).join(found, "node", "left").select("node", "check", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "component").select(F.col("node").alias("class"), "component_id")
-    out = signed_docs.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
+    by_class = named.join(least, "component").select(F.col("node").alias("class"), "check", "component_id")
+    out = signed_docs.select("doc_id", "n_shingles", "class", "check").join(by_class, ["class", "check"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spotweave.llm import chat_quotes, fingerprints, graph, langid, line_dedup, linking, lm_scoring, mixing, neardup, packing, sharding, topk
 
@@ -160,6 +161,46 @@ def test_line_blocks_find_edited_lines(low, high):
     assert all(line_dedup.may_be_similar(same, i, np.array([i + len(lines)]))[0] for i in range(len(lines)) if line_dedup.edit_similar(lines[i], copies[i]))
 
 
+@pytest.mark.parametrize(("low", "high"), [(30, 60), (60, 120), (120, 300), (300, 900), (900, 5000)])
+def test_line_blocks_find_lines_edited_all_over(low, high):
+    """The same for copies with words replaced all over the line, as many as a tenth of the characters allow."""
+    rng = random.Random(high)
+    common = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    lines, copies = [], []
+    while len(lines) < 120:
+        line, size = rng.choice(common), rng.randint(low, high - 1)
+        while len(line) < size:
+            line += " " + common[min(int(rng.paretovariate(0.6)), 400) - 1]
+        w, left = line[:size].strip().split(" "), size // 10
+        for i in rng.sample(range(len(w)), len(w)):
+            new = rng.choice(common)
+            if max(len(new), len(w[i])) <= left and new != w[i]:
+                left -= max(len(new), len(w[i]))
+                w[i] = new
+        if " ".join(w) != line[:size].strip() and line_dedup.edit_similar(line[:size].strip(), " ".join(w)):
+            lines.append(line[:size].strip())
+            copies.append(" ".join(w))
+    found = [set(), set()]
+    for k, forms in enumerate((lines, copies)):
+        key, of = line_dedup.blocks(pa.array(forms))
+        found[k] = [set(key[of == i].tolist()) for i in range(len(forms))]
+    assert np.mean([bool(x & y) for x, y in zip(*found, strict=True)]) >= 0.93
+
+
+def test_lines_with_one_half_of_their_hashes_equal_are_not_one(spark):
+    rows = [(1, 0, 7, 5, "one form of this", []), (2, 0, 7, 4, "quite another form", []), (3, 0, 7, 5, "one form of this", []), (4, 0, 7, 4, "quite another form", []), (5, 0, 8, 4, "third", [])]
+    got = line_dedup.repeated(spark.createDataFrame(rows, "doc_id long, line long, node long, check long, form string, keys array<long>"))
+    assert [(r.doc_id, r.line) for r in got.collect()] == [(4, 0)]
+
+
+def test_sets_with_one_half_of_their_hashes_equal_are_not_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e f", "g h i j k l", "a b c d e f", "g h i j k l"])], "doc_id long, text string")
+    plainly = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda *a: plainly(*a).withColumn("class", F.lit(5).cast("long")))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert got[1] != got[0] and got[2] in (0, 2) and got[3] in (1, 3)
+
+
 def test_line_groups_agree_with_brute_force(spark):
     """Connected groups over chains of edits: what is kept is each brute-force group's first line."""
     rng, lines = random.Random(8), []
