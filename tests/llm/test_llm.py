@@ -256,7 +256,9 @@ def test_within_edits():
         assert line_dedup.within_edits(x, y, most) == (_levenshtein(x, y) <= most), (x, y, most)
 
 
-def test_many_edits_at_once_agree_with_one_by_one():
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_many_edits_at_once_agree_with_one_by_one(monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
     rng = random.Random(5)
     xs, ys = [], []
     for size in (0, 1, 9, 10, 63, 64, 65, 128, 300, 1200):
