@@ -134,10 +134,11 @@ def connect(keys: DataFrame, bodies: Callable[[DataFrame], DataFrame], similar:
     keys: (key, node, round), repeated rows allowed; stars take all keys, blocks those of one round after the other.
     bodies: gives (node, body) of the nodes asked for, one row each.
     """
-    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).where("lead < hi").select("key", "lead")
-    shared = written(shared)
-    small = F.broadcast(shared) if shared.count() <= BROADCAST else shared
-    members = written(keys.join(small, "key").select("key", "node", "round", "lead"))
+    # Most keys are one node's own: they are shuffled once, alone with a count, and nodes only of those that are left.
+    often = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    repeated = written(keys.join(F.broadcast(often) if often.count() <= BROADCAST else often, "key").select("key", "node", "round"))
+    shared = repeated.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).where("lead < hi").select("key", "lead")
+    members = written(repeated.join(shared, "key").select("key", "node", "round", "lead"))
     own = members.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a node has blocks
     held = written(bodies(own.select("node")).join(own, "node"))
 
