@@ -1,14 +1,16 @@
 """Range joins by bins, as-of joins, interval merging and gap sessions.
 
 Spark plans pure inequality joins as nested loops; here an interval is dealt to the bins that it touches and a
-point to its one, so the join is by (chrom, bin) with a re-check. Intervals are half-open: start <= x < end.
+point to its one, so the join is by (chrom, bin) with a re-check. What needs a chromosome in order is scanned by ranges of
+positions (see `scans`). Intervals are half-open: start <= x < end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from spotweave.operators.scans import range_sorted, running
 
 BIN = 1024
 
@@ -48,23 +50,23 @@ def interval_flag(sites: DataFrame, intervals: DataFrame, name: str) -> DataFram
 def asof_join(points: DataFrame, intervals: DataFrame, point: str = "pos", value: str = "score", missing: float = 0.0) -> DataFrame:
     """The value of the last interval that starts at or before a point, if it holds it, else `missing`; null on unknown chromosomes.
 
-    One sort for both sides, by (chrom, position); no pairs are made.
+    One sort for both sides, by ranges of (chrom, position); no pairs are made, and no task holds a chromosome.
     """
-    left = points.select("chrom", F.col(point).alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast("double").alias("_value"))
-    right = intervals.select("chrom", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col("end").cast("long").alias("_end"), F.col(value).cast("double").alias("_value"))
-    w = Window.partitionBy("chrom")
-    upto = w.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.count(F.when(F.col("_kind") == 0, 1)).over(w) > 0
-    both = left.union(right).select("*", F.last(F.when(F.col("_kind") == 0, F.struct("_end", "_value")), True).over(upto).alias("_last"), known.alias("_known"))
+    left = points.select("chrom", F.col(point).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast("double").alias("_value"))
+    right = intervals.select("chrom", F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col("end").cast("long").alias("_end"), F.col(value).cast("double").alias("_value"))
+    laid = range_sorted(left.union(right), ["chrom"], ["_at", "_kind", "_end", "_value"])
+    both = running(laid, ["chrom"], {"_last": ("last", F.when(F.col("_kind") == 0, F.struct("_end", "_value")))})
+    known = intervals.select(F.col("chrom").alias("_known")).distinct()
     hit = F.when(F.col("_at") < F.col("_last._end"), F.col("_last._value")).otherwise(F.lit(missing))
-    return both.where("_kind = 1").select("_row.*", F.when(F.col("_known"), hit).alias(value))
+    met = both.where("_kind = 1").join(known, F.col("chrom") == F.col("_known"), "left")
+    return met.select("_row.*", F.when(F.col("_known").isNotNull(), hit).alias(value))
 
 
 def gap_sessions(rows: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
     """Rows with `session`: a number that grows by one where the distance to the row before is more than `gap`."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    new = F.when(F.lag(at).over(w).isNull() | (F.col(at) - F.lag(at).over(w) > gap), 1).otherwise(0)
-    return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    laid = running(range_sorted(rows, keys, [at]), keys, {"_before": ("last", F.col(at))}, upto=-1)
+    new = F.when(F.col("_before").isNull() | (F.col(at) - F.col("_before") > gap), 1).otherwise(0)
+    return running(laid, keys, {"session": ("sum", new)}).select(*rows.columns, "session")
 
 
 def win_gap_sessionize(sites: DataFrame, gap: int = 10) -> DataFrame:
@@ -74,9 +76,9 @@ def win_gap_sessionize(sites: DataFrame, gap: int = 10) -> DataFrame:
 
 def merge_intervals(intervals: DataFrame, keys: list[str], gap: int = 200) -> DataFrame:
     """Intervals with at most `gap` between them become one: keys, start, end, merged."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    far = F.col("start") - F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap
-    block = intervals.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("_block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    laid = running(range_sorted(intervals, keys, ["start", "end"]), keys, {"_reach": ("max", F.col("end"))}, upto=-1)
+    new = F.coalesce((F.col("start") - F.col("_reach") > gap).cast("int"), F.lit(1))
+    block = running(laid, keys, {"_block": ("sum", new)})
     return block.groupBy(*keys, "_block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("merged")).drop("_block")
 
 
