@@ -88,10 +88,17 @@ def win_merge_haplotype(most: Column, nearest: Column) -> Column:
     return F.when(most == nearest, most).when((most == 3) | (nearest == 3), 3).otherwise(F.least(most, nearest))
 
 
-def join_wide_features(driving: DataFrame, *features: DataFrame) -> DataFrame:
-    """Left joins by variant key; each side has one row a key. Same keys, so the sides are shuffled once each."""
+def first_of_key(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row a key: the first by `order`, ties and rows without one by the other columns; partially aggregated."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min(F.struct(*([F.col(order).alias("_order")] if order else []), *rest))
+    return rows.groupBy(*keys).agg(first.alias("_first")).select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
+
+
+def join_wide_features(driving: DataFrame, *features: DataFrame, order: str | None = None) -> DataFrame:
+    """Left joins by variant key with the first row of each key on every side. Same keys, so the sides are shuffled once each."""
     for f in features:
-        driving = driving.join(f.dropDuplicates(KEY), KEY, "left")
+        driving = driving.join(first_of_key(f, KEY, order), KEY, "left")
     return driving
 
 

@@ -108,6 +108,12 @@ pc AS (SELECT *, CASE len(germ)
     WHEN NOT (g1h1 > 5 * g1h2 OR g1h2 > 5 * g1h1) AND (mh2 > 5 * mh1 OR mh1 > 5 * mh2) AND mut_allele >= 2 AND ((g1h1 > g1h2 AND mh1 < mh2) OR (g1h2 > g1h1 AND mh2 < mh1)) THEN 3 ELSE 4 END
   WHEN 2 THEN CASE WHEN NOT ((g1h1 > 5 * g1h2 AND g2h2 > 5 * g2h1) OR (g1h2 > 5 * g1h1 AND g2h1 > 5 * g2h2)) OR mut_allele < 2 THEN 4 WHEN mh1 > 5 * mh2 OR mh2 > 5 * mh1 THEN 3 ELSE 4 END END AS haplo FROM pd)"""
 
+_POP = "po AS (SELECT 'chr' || CAST(1 + p_partkey % 60 % 3 AS VARCHAR) AS chrom, 1000 + 4 * (p_partkey % 60) AS pos, substr('ATCG', CAST(1 + p_partkey % 4 AS INT), 1) AS ref, substr('ATCG', CAST(1 + (p_partkey + 1 + p_size % 3) % 4 AS INT), 1) AS alt, p_size / 100 AS af FROM part)"
+_OTHER = " + ".join(f"CASE WHEN ref = '{b}' THEN 0 ELSE coalesce(g{b}, 0) END" for b in _B)
+_PRIOR = _POP + f""", p0 AS (SELECT chrom, pos, ref, {", ".join(f"max(af) FILTER (alt = '{b}') AS g{b}" for b in _B)} FROM po WHERE EXISTS (SELECT 1 FROM st WHERE st.chrom = po.chrom AND st.pos = po.pos AND st.ref = po.ref) GROUP BY ALL),
+pr AS (SELECT chrom, pos, {", ".join(f"CASE WHEN ref = '{b}' THEN 1 - other * scale ELSE coalesce(g{b}, 0) * scale END AS f{b}" for b in _B)} FROM (SELECT *, CASE WHEN other > 1 THEN 0.99 / other ELSE 1 END AS scale FROM (SELECT *, {_OTHER} AS other FROM p0)))"""
+_FREQ = lambda x: "coalesce(nullif(CASE " + x + " " + " ".join(f"WHEN '{b}' THEN f{b}" for b in _B) + " END, 0), 1e-5)"
+
 ORACLE_SQL: dict[str, str] = {
     "classify_candidates": _w(_ALLELES, "SELECT * FROM (SELECT chrom, pos, ref, allele2 AS alt1, count2 >= 5 AND depth >= 30 AND count2 / depth >= 0.001 AND count2 / depth <= 0.6 AS is_somatic, depth >= 100 AND count1 / depth >= 0.95 AND count2 >= 5 AS is_error, depth AS total_depth, count1 AS ref_depth, count2 AS alt1_depth, round(count2 / depth, 6) AS vaf FROM al WHERE depth >= 30) WHERE is_somatic OR is_error"),
     "order_alleles_by_count": _w(_ALLELES, "SELECT * FROM al"),
@@ -124,10 +130,10 @@ ORACLE_SQL: dict[str, str] = {
     "agg_barcode_totals": _w(_EVENTS, "SELECT barcode, count(DISTINCT umi) AS n_umi, count(*) AS reads FROM ev GROUP BY barcode"),
     "cell_number": _w(_EVENTS + ", tt AS (SELECT barcode, cluster, count(DISTINCT chrom || '_' || pos || '_' || umi) AS n_umi FROM ev JOIN bc USING (barcode) GROUP BY ALL), md AS (SELECT quantile_cont(n_umi, 0.5) AS m FROM tt GROUP BY cluster ORDER BY sum(n_umi) DESC, cluster DESC LIMIT 1)", "SELECT barcode, cluster, n_umi, CAST(CASE WHEN m > 0 THEN least(25, ceil(round(20 * n_umi / m, 9))) ELSE 1 END AS BIGINT) AS refined_cell_num FROM tt, md"),
     "genotype_likelihood": _w(_HIST, "SELECT chrom, pos, alt, r, a, round(l_refhom, 4) AS l_refhom, round(l_althom, 4) AS l_althom, round(l_het, 4) AS l_het, round(l_mosaic, 4) AS l_mosaic FROM lh"),
-    "individual_posterior": _w(_HIST + ", g AS (SELECT *, log10(0.98 * 0.98) + l_refhom AS g0, log10((0.02 / 3) * (0.02 / 3)) + l_althom AS g1, log10(2 * 0.98 * (0.02 / 3)) + l_het AS g2, log10(1e-5) + l_mosaic AS g3 FROM lh)", "SELECT chrom, pos, alt, CASE greatest(g0, g1, g2, g3) WHEN g3 THEN 'mosaic' WHEN g0 THEN 'refhom' ELSE 'het' END AS genotype, round(1 / (1 + pow(10.0, greatest(g0, g1, g2) - g3)), 4) AS p_mosaic, round(a / (r + a), 6) AS vaf FROM g"),
+    "individual_posterior": _w(_HIST + _SITES[len(_EVENTS) :] + ", " + _PRIOR + f", lf AS (SELECT lh.*, {_FREQ('lh.ref')} AS fr, {_FREQ('lh.alt')} AS fa FROM lh LEFT JOIN pr ON pr.chrom = lh.chrom AND pr.pos = lh.pos), g AS (SELECT *, log10(fr * fr) + l_refhom AS g0, log10(fa * fa) + l_althom AS g1, log10(2 * fr * fa) + l_het AS g2, log10(1e-5) + l_mosaic AS g3 FROM lf)", "SELECT chrom, pos, alt, CASE greatest(g0, g1, g2, g3) WHEN g3 THEN 'mosaic' WHEN g0 THEN 'refhom' ELSE 'het' END AS genotype, round(1 / (1 + pow(10.0, greatest(g0, g1, g2) - g3)), 4) AS p_mosaic, round(a / (r + a), 6) AS vaf FROM g"),
     "downsample_hist": _w(_CONS, "SELECT chrom, pos, allele, phred, CAST(CASE WHEN t > 200 THEN round_even(n * (200.0::DOUBLE / t), 0) ELSE n END AS BIGINT) AS n FROM (SELECT *, sum(n) OVER (PARTITION BY chrom, pos) AS t FROM (SELECT chrom, pos, allele, phred, count(*) AS n FROM cs GROUP BY ALL))"),
     "prior_normalise": "WITH p AS (SELECT p_partkey AS pos, substr('ATCG', CAST(p_partkey % 4 + 1 AS INT), 1) AS ref, (p_partkey * 7) % 100 / 120 AS fA, (p_partkey * 11) % 100 / 120 AS fT, (p_partkey * 13) % 100 / 120 AS fC, (p_partkey * 17) % 100 / 120 AS fG FROM part), q AS (SELECT *, " + " + ".join(f"CASE WHEN ref = '{b}' THEN 0 ELSE f{b} END" for b in _B) + " AS o FROM p), z AS (SELECT *, CASE WHEN o > 1 THEN 0.99 / o ELSE 1 END AS s FROM q) SELECT pos, ref, " + ", ".join(f"round(CASE WHEN ref = '{b}' THEN 1 - o * s ELSE f{b} * s END, 6) AS f{b}" for b in _B) + " FROM z",
-    "join_prior_left": _w(_SITES, "SELECT chrom, pos, depth, CASE WHEN pos % 8 = 0 THEN 0.9::DOUBLE ELSE 0 END AS fA, CASE WHEN pos % 8 = 0 THEN 0.05::DOUBLE ELSE 0 END AS fT, CASE WHEN pos % 8 = 0 THEN 0.03::DOUBLE ELSE 0 END AS fC, CASE WHEN pos % 8 = 0 THEN 0.02::DOUBLE ELSE 0 END AS fG FROM st"),
+    "join_prior_left": _w(_SITES + ", " + _PRIOR, "SELECT x.chrom, x.pos, depth, " + ", ".join(f"round(coalesce(f{b}, 0), 6) AS f{b}" for b in _B) + " FROM (SELECT 'chr' || CAST(1 + p_partkey % 60 % 3 AS VARCHAR) AS chrom, 1000 + 2 * (p_partkey % 180) AS pos, p_partkey AS depth FROM part) x LEFT JOIN pr ON pr.chrom = x.chrom AND pr.pos = x.pos"),
     "rebin_coord": "SELECT event_id, CAST(ceil(user_id / 50) * 50 AS BIGINT) AS x FROM events",
     "win_gap_sessionize": _w(_SESS, "SELECT * FROM sn"),
     "win_merge_intervals": _w(_GENES, """SELECT chrom, min("start") AS "start", max("end") AS "end", count(*) AS merged FROM (SELECT *, sum(n) OVER (PARTITION BY chrom ORDER BY "start", "end", gene ROWS UNBOUNDED PRECEDING) AS b FROM (SELECT *, CASE WHEN "start" - max("end") OVER (PARTITION BY chrom ORDER BY "start", "end", gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 5 THEN 0 ELSE 1 END AS n FROM gn)) GROUP BY chrom, b"""),
@@ -138,7 +144,7 @@ ORACLE_SQL: dict[str, str] = {
     "asof_mappability": _w(_SITES + ", " + _GENES + """, tr AS (SELECT chrom, "start", max("end") AS "end", CAST(max("end" - "start") AS DOUBLE) AS score FROM gn GROUP BY ALL)""", """SELECT st.chrom, st.pos, CASE WHEN st.pos < tr."end" THEN score WHEN st.chrom IN (SELECT chrom FROM tr) THEN 0.0 END AS score FROM st ASOF LEFT JOIN tr ON st.chrom = tr.chrom AND st.pos >= tr."start" """),
     "self_join_cluster_pairs": _w(_DENSE, "SELECT a.chrom, a.pos AS pos_i, b.pos AS pos_j FROM ds a JOIN ds b ON a.chrom = b.chrom AND b.pos > a.pos AND b.pos <= a.pos + 10"),
     "semi_pon": "SELECT o_orderkey, o_custkey, EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) AS pon FROM orders",
-    "semi_editing_db": _w(_SITES, "SELECT chrom, pos, pos % 3 = 0 AS editing_database FROM st"),
+    "semi_editing_db": _w(_SITES + ", " + _GENES, 'SELECT chrom, pos, EXISTS (SELECT 1 FROM gn WHERE gn.chrom = st.chrom AND gn."start" = st.pos) AS editing_database FROM st'),
     "lookup_dbsnp": _w(_VAR, "SELECT chrom, pos, ref, alt, CASE WHEN alt IN ('A', 'G') THEN 'rs' || pos END AS dbsnp FROM va"),
     "context_dna96": _w(_VAR, f"SELECT chrom, pos, CASE WHEN ref IN ('C', 'T') THEN up || '[' || ref || '>' || alt || ']' || down ELSE {_COMP('down')} || '[' || {_COMP('ref')} || '>' || {_COMP('alt')} || ']' || {_COMP('up')} END AS context FROM va"),
     "context_rna192": _w(_VAR, f"SELECT chrom, pos, {_RNA} AS context FROM va"),
@@ -164,7 +170,7 @@ ORACLE_SQL: dict[str, str] = {
     "agg_phase_summary": _w(_PHASE + ", ps AS (SELECT chrom, pos, CAST(max(mut_allele) AS BIGINT) AS max_support, CAST(sum(mut_allele) AS BIGINT) AS sum_support, arg_min(haplo, (snp_pos - pos) * 100000 + snp_pos) AS nearest_haplo, arg_max(haplo, mut_allele * 100000 - snp_pos) AS most_haplo FROM pc GROUP BY chrom, pos)", "SELECT *, CASE WHEN most_haplo = nearest_haplo THEN most_haplo WHEN most_haplo = 3 OR nearest_haplo = 3 THEN 3 ELSE least(most_haplo, nearest_haplo) END AS haplo FROM ps"),
     "rule_filtration": _w(_RULES, "SELECT chrom, pos, ref, alt, filter FROM ru"),
     "filter_pipeline": "SELECT filter, passed, total, round(passed / total, 6) AS pass_rate FROM (SELECT 'dear' AS filter, count(*) FILTER (o_totalprice > 100000) AS passed, count(*) AS total FROM orders UNION ALL SELECT 'open', count(*) FILTER (o_orderstatus = 'O'), count(*) FROM orders)",
-    "join_wide_features": _w(_VAR, "SELECT chrom, pos, ref, alt, spot_number, CASE WHEN pos % 8 = 0 THEN alt_count END AS feature_a, CASE WHEN pos % 12 = 0 THEN depth END AS feature_b FROM va"),
+    "join_wide_features": _w(_VAR + ", " + _GENES + ", " + _POP, 'SELECT chrom, pos, ref, alt, spot_number, (SELECT min(af) FROM po WHERE po.chrom = va.chrom AND po.pos = va.pos AND po.ref = va.ref AND po.alt = va.alt) AS known_af, (SELECT nullif(count(*), 0) FROM gn WHERE gn.chrom = va.chrom AND gn."start" <= va.pos AND va.pos < gn."end") AS genes FROM va'),
     "agg_site_spatial": _w(_SPOT + ", sq AS (SELECT chrom, pos, CASE WHEN pos % 5 = 0 THEN 4 ELSE depth END AS depth, vaf, ceil(round(CASE WHEN pos % 5 = 0 THEN 4 ELSE depth END * vaf, 9)) AS m, (pos * 7 + k * 3) % 10 / 10 AS pr, (pos + k * 5) % 8 / 10 AS li FROM (SELECT *, CAST(substr(barcode, 3) AS BIGINT) AS k FROM ss) WHERE k % 9 > 0)",
       "SELECT chrom, pos, count(*) AS num_spots, count(*) FILTER (vaf > 0) AS num_mut_spots, round(avg((vaf > 0 AND pr > 0.5)::INT), 6) AS mut_rate, round(avg((pr > 0.5)::INT), 6) AS mut_rate_prob, round(avg((li > 0.5)::INT), 6) AS mut_rate_likelihood, round(avg((vaf > 0)::INT), 6) AS mut_rate_vaf, round(max(vaf), 6) AS vaf_max, round(avg(vaf), 6) AS vaf_mean, round(avg(vaf) FILTER (vaf > 0), 6) AS vaf_mean_mut, round(quantile_cont(vaf, 0.5) FILTER (vaf > 0), 6) AS vaf_median_mut, round(CASE WHEN count(DISTINCT depth) <= 1 THEN 1 WHEN count(DISTINCT m) = 1 THEN 0 ELSE pow(corr(m, depth), 2) END, 6) AS r2 FROM sq GROUP BY chrom, pos"),
     "sample_fixed_n": _w(_EVENTS, "SELECT chrom, pos, read_id FROM (SELECT chrom, pos, read_id, row_number() OVER (PARTITION BY chrom, pos ORDER BY (read_id * 7919 + 42) % 104729, read_id) AS k FROM ev) WHERE k <= 20"),
@@ -174,7 +180,7 @@ ORACLE_SQL: dict[str, str] = {
     "sink_vcf": _w(_RULES, "SELECT concat_ws(chr(9), chrom, pos, '.', ref, alt, '.', 'PASS', 'DP=' || depth || ';ALT_DP=' || alt_count) AS line FROM ru WHERE filter = 'PASS'"),
     "ml_prepare": "SELECT DISTINCT p_partkey, round(log10(1 + coalesce(CASE WHEN p_size % 5 <> 0 THEN p_size / 50 END, 1)), 6) AS x_p, round(coalesce(CASE WHEN p_size % 7 <> 0 THEN p_retailprice END, 0), 6) AS y_rbc FROM part",
     "union_distinct": _w(_VAR, "SELECT chrom, pos, ref, alt FROM va WHERE pos < 1120 UNION SELECT chrom, pos, ref, alt FROM va WHERE pos > 1080"),
-    "set_except": _w(_VAR, "(SELECT chrom, pos FROM va EXCEPT SELECT chrom, pos FROM va WHERE pos % 8 = 0) INTERSECT SELECT chrom, pos FROM va WHERE pos % 12 <> 0"),
+    "set_except": _w(_VAR + ", " + _GENES + ", " + _POP, '(SELECT chrom, pos FROM va EXCEPT SELECT chrom, "start" FROM gn) INTERSECT SELECT va.chrom, va.pos FROM va JOIN po ON po.chrom = va.chrom AND po.pos = va.pos AND po.alt = va.alt'),
     "sort_chrom_aware": _w(_SITES, "SELECT chrom, pos, CAST(substr(chrom, 4) AS INT) AS o FROM st ORDER BY o, pos"),
     "umi_event_explode": "WITH b(kind, k, start, len) AS (VALUES (0, 0, 0, 40), (1, 3, 0, 20), (1, 25, 20, 15), (2, 0, 0, 10), (2, 10, 14, 20), (2, 30, 84, 10), (3, 5, 0, 15), (3, 20, 15, 1), (3, 21, 16, 17)), si AS (SELECT DISTINCT 'chr' || (1 + p_partkey % 4) AS chrom, 1 + p_partkey % 400 AS pos FROM part), x AS (SELECT o_orderkey AS read_id, o_custkey, 'chr' || (1 + o_orderkey % 3) AS chrom, o_orderkey % 300 + start + i + 1 AS pos, k + i AS k FROM orders JOIN b ON kind = o_orderkey % 4, unnest(range(0, len)) u(i) WHERE o_custkey % 11 <> 0) SELECT * FROM (SELECT read_id, chrom, pos, 'A' AS ref, 'BC' || (o_custkey % 50) AS barcode, CAST(read_id % 10 AS VARCHAR) AS umi, substr(repeat('ACGTTGCAN', 6), CAST(1 + o_custkey % 9 + k AS BIGINT), 1) AS base, CAST((k * 7 + read_id) % 45 AS INT) AS qual, read_id % 2 = 1 AS is_reverse FROM x JOIN si USING (chrom, pos)) WHERE base <> 'N' AND qual <= 40",
     "read_features": read_features(_CONS[len(_EVENTS) :]),

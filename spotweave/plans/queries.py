@@ -137,7 +137,10 @@ def genotype_likelihood(s, d):
 
 @query
 def individual_posterior(s, d):
-    return T.individual_posterior(_likelihoods(s, d).withColumn("fref", F.lit(0.98)).withColumn("falt", F.lit(0.02 / 3))).select("chrom", "pos", "alt", "genotype", F.round("p_mosaic", 4).alias("p_mosaic"), r6("vaf").alias("vaf"))
+    known = T.join_prior_left(_likelihoods(s, d), _priors(s, d))
+    of = lambda base: F.element_at(F.array(*[F.col(f"f{b}") for b in G.BASES]), G.base_rank(F.col(base)) + 1)
+    out = T.individual_posterior(known.withColumn("fref", of("ref")).withColumn("falt", of("alt")))
+    return out.select("chrom", "pos", "alt", "genotype", F.round("p_mosaic", 4).alias("p_mosaic"), r6("vaf").alias("vaf"))
 
 
 @query
@@ -171,10 +174,22 @@ def _letter(i: Column) -> Column:
     return F.substr(F.lit("ATCG"), (i + 1).cast("int"), F.lit(1))
 
 
+def _population(s: SparkSession, d: str) -> DataFrame:
+    """(chrom, pos, ref, alt, af): known alternatives out of the parts."""
+    k, site = F.col("p_partkey"), F.col("p_partkey") % 60
+    return demo.table(s, d, "part").select(
+        F.concat(F.lit("chr"), (1 + site % 3).cast("string")).alias("chrom"), (1000 + 4 * site).alias("pos"), _letter(k % 4).alias("ref"), _letter((k + 1 + F.col("p_size") % 3) % 4).alias("alt"), (F.col("p_size") / 100).alias("af")
+    )
+
+
+def _priors(s: SparkSession, d: str) -> DataFrame:
+    return T.prior_normalise(filters.join_prior_lookup(_sites(s, d), _population(s, d)))
+
+
 @query
 def join_prior_left(s, d):
-    priors = _sites(s, d).where("pos % 8 = 0").select("chrom", "pos", *[F.lit(x).alias(f"f{b}") for b, x in zip(G.BASES, (0.9, 0.05, 0.03, 0.02), strict=True)])
-    return T.join_prior_left(_sites(s, d).select("chrom", "pos", "depth"), priors)
+    sites = demo.table(s, d, "part").select(F.concat(F.lit("chr"), (1 + F.col("p_partkey") % 60 % 3).cast("string")).alias("chrom"), (1000 + 2 * (F.col("p_partkey") % 180)).alias("pos"), F.col("p_partkey").alias("depth"))
+    return T.join_prior_left(sites, _priors(s, d)).select("chrom", "pos", "depth", *[r6(f"f{b}").alias(f"f{b}") for b in G.BASES])
 
 
 @query
@@ -239,7 +254,7 @@ def semi_pon(s, d):
 
 @query
 def semi_editing_db(s, d):
-    return X.membership_flag(_sites(s, d).select("chrom", "pos"), _sites(s, d).where("pos % 3 = 0").select("chrom", "pos"), ["chrom", "pos"], "editing_database")
+    return X.membership_flag(_sites(s, d).select("chrom", "pos"), demo.genes(s, d).select("chrom", F.col("start").alias("pos")), ["chrom", "pos"], "editing_database")
 
 
 @query
@@ -396,9 +411,9 @@ def filter_pipeline(s, d):
 @query
 def join_wide_features(s, d):
     v = _variants(s, d)
-    a = v.where("pos % 8 = 0").select(*X.KEY, F.col("alt_count").alias("feature_a"))
-    b = v.where("pos % 12 = 0").select(*X.KEY, F.col("depth").alias("feature_b"))
-    return X.join_wide_features(v.select(*X.KEY, "spot_number"), a, b)
+    known = _population(s, d).withColumnRenamed("af", "known_af")
+    held = intervals.range_join(v.select(*X.KEY), demo.genes(s, d)).groupBy(*X.KEY).agg(F.count("*").alias("genes"))
+    return X.join_wide_features(v.select(*X.KEY, "spot_number"), known, held)
 
 
 def _spots(s: SparkSession, d: str) -> DataFrame:
@@ -462,21 +477,26 @@ def ml_prepare(s, d):
     return X.ml_prepare(p, ["x_p"], ["y_rbc"]).select("p_partkey", r6("x_p").alias("x_p"), r6("y_rbc").alias("y_rbc"))
 
 
-def _vectors(s: SparkSession, d: str) -> DataFrame:
-    return demo.table(s, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)])
+_FEATURES = [f"f{i}" for i in range(64)]
 
 
-_FEATURES = [f"f{i}" for i in range(8)]
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    """Every embedding's components as columns; a fifth is held out by a hash of the id."""
+    x = demo.table(s, d, "embeddings")
+    held = F.crc32(F.col("vec_id").cast("string").cast("binary")) % 5 == 1
+    return x.select("vec_id", (F.col("label") % 2).alias("label"), held.alias("held_out"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(_FEATURES)])
 
 
 @query
 def ml_random_forest(s, d):
-    return ml.random_forest(_vectors(s, d), _vectors(s, d).select("vec_id", *_FEATURES), _FEATURES, "label").select("vec_id", "predicted", "p1")
+    v = _vectors(s, d)
+    return ml.random_forest(v.where("not held_out"), v.select("vec_id", "held_out", "label", *_FEATURES), _FEATURES, "label").select("vec_id", "held_out", "label", "predicted", "p1")
 
 
 @query
 def ml_logistic(s, d):
-    return ml.logistic(_vectors(s, d), _vectors(s, d).select("vec_id", *_FEATURES), _FEATURES, "label").select("vec_id", "predicted")
+    v = _vectors(s, d)
+    return ml.logistic(v.where("not held_out"), v.select("vec_id", "held_out", "label", *_FEATURES), _FEATURES, "label").select("vec_id", "held_out", "label", "predicted")
 
 
 @query
@@ -497,8 +517,9 @@ def union_distinct(s, d):
 
 @query
 def set_except(s, d):
-    v = _variants(s, d).select("chrom", "pos")
-    return v.join(v.where("pos % 8 = 0"), ["chrom", "pos"], "left_anti").join(v.where("pos % 12 <> 0"), ["chrom", "pos"], "left_semi")
+    v = _variants(s, d).select("chrom", "pos", "alt")
+    starts = demo.genes(s, d).select("chrom", F.col("start").alias("pos"))
+    return v.join(starts, ["chrom", "pos"], "left_anti").join(_population(s, d), ["chrom", "pos", "alt"], "left_semi").select("chrom", "pos").distinct()
 
 
 @query
@@ -584,11 +605,7 @@ def barcode_to_cell(s, d):
 
 @query
 def join_prior_lookup(s, d):
-    k, site = F.col("p_partkey"), F.col("p_partkey") % 60
-    population = demo.table(s, d, "part").select(
-        F.concat(F.lit("chr"), (1 + site % 3).cast("string")).alias("chrom"), (1000 + 4 * site).alias("pos"), _letter(k % 4).alias("ref"), _letter((k + 1 + F.col("p_size") % 3) % 4).alias("alt"), (F.col("p_size") / 100).alias("af")
-    )
-    return filters.join_prior_lookup(_sites(s, d), population)
+    return filters.join_prior_lookup(_sites(s, d), _population(s, d))
 
 
 @query
