@@ -184,6 +184,10 @@ ORACLE_SQL: dict[str, str] = {
     "sort_chrom_aware": _w(_SITES, "SELECT chrom, pos, CAST(substr(chrom, 4) AS INT) AS o FROM st ORDER BY o, pos"),
     "umi_event_explode": "WITH b(kind, k, start, len) AS (VALUES (0, 0, 0, 40), (1, 3, 0, 20), (1, 25, 20, 15), (2, 0, 0, 10), (2, 10, 14, 20), (2, 30, 84, 10), (3, 5, 0, 15), (3, 20, 15, 1), (3, 21, 16, 17)), si AS (SELECT DISTINCT 'chr' || (1 + p_partkey % 4) AS chrom, 1 + p_partkey % 400 AS pos FROM part), x AS (SELECT o_orderkey AS read_id, o_custkey, 'chr' || (1 + o_orderkey % 3) AS chrom, o_orderkey % 300 + start + i + 1 AS pos, k + i AS k FROM orders JOIN b ON kind = o_orderkey % 4, unnest(range(0, len)) u(i) WHERE o_custkey % 11 <> 0) SELECT * FROM (SELECT read_id, chrom, pos, 'A' AS ref, 'BC' || (o_custkey % 50) AS barcode, CAST(read_id % 10 AS VARCHAR) AS umi, substr(repeat('ACGTTGCAN', 6), CAST(1 + o_custkey % 9 + k AS BIGINT), 1) AS base, CAST((k * 7 + read_id) % 45 AS INT) AS qual, read_id % 2 = 1 AS is_reverse FROM x JOIN si USING (chrom, pos)) WHERE base <> 'N' AND qual <= 40",
     "read_features": read_features(_CONS[len(_EVENTS) :]),
+    "sample_reservoir": """WITH rg AS (SELECT DISTINCT 'chr' || (1 + p_partkey % 3) AS chrom, p_partkey % 12 * 25 AS "start", p_partkey % 12 * 25 + 25 + p_partkey % 4 * 10 AS "end" FROM part),
+      rd AS (SELECT o_orderkey AS read_id, 'chr' || (1 + o_orderkey % 3) AS chrom, o_orderkey % 300 AS a, o_orderkey % 300 + [40, 35, 94, 33][1 + o_orderkey % 4] AS b FROM orders),
+      hi AS (SELECT rg.*, read_id, count(*) OVER w AS total_seen, row_number() OVER (w ORDER BY CAST('0x' || substr(md5(CAST(read_id AS VARCHAR)), 1, 15) AS BIGINT), read_id) AS k FROM rg JOIN rd ON rd.chrom = rg.chrom AND a < rg."end" AND b > rg."start" WINDOW w AS (PARTITION BY rg.chrom, rg."start", rg."end"))
+      SELECT chrom, "start", "end", read_id, total_seen, total_seen > 150 AS adjusted FROM hi WHERE k <= 150""",
     "filter_reads_quality": "SELECT o_orderkey AS read_id, CAST(o_orderkey % 4 * 85 AS INT) AS mapq, CAST(o_orderkey % 7 AS INT) AS nm FROM orders WHERE o_orderkey % 4 = 3 AND o_orderkey % 7 <= 5",
     "filter_reads_by_barcode": "SELECT o_orderkey AS read_id, 'BC' || (o_custkey % 50) AS barcode FROM orders WHERE o_custkey % 11 <> 0 AND o_custkey % 50 % 4 = 1",
     "filter_informative_het": _w(_GERM, "SELECT chrom, pos, count1, count2 FROM ge WHERE het AND count1 > 5 AND count2 > 5 AND prior1 > 0.05 AND prior2 > 0.05 AND count1 + count2 > 30"),

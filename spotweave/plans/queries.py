@@ -543,6 +543,15 @@ def filter_reads_by_barcode(s, d):
     return R.filter_reads_by_barcode(demo.reads(s, d), demo.clusters(s).where("cluster = '1'")).select("read_id", F.col("cb").alias("barcode"))
 
 
+@query
+def sample_reservoir(s, d):
+    k = F.col("p_partkey")
+    start = k % 12 * 25
+    regions = demo.table(s, d, "part").select(F.concat(F.lit("chr"), (1 + k % 3).cast("string")).alias("chrom"), start.alias("start"), (start + 25 + k % 4 * 10).alias("end")).distinct()
+    key = F.conv(F.substring(F.md5(F.col("read_id").cast("string")), 1, 15), 16, 10).cast("long")
+    return R.sample_reservoir(demo.reads(s, d), regions, 150, key=key)
+
+
 @query
 def read_features(s, d):
     out = read_level.read_features(read_level.observations(demo.reads(s, d), demo.read_variants(s, d)))
