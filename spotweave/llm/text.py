@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are turned into arrays at once; a longer text is handled alone, whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _U = np.uint64
 
