@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spotweave.plans import oracle_histograms as H
 from spotweave.plans.oracle_reads import ERFC, read_features
 
 _B = "ATCG"
@@ -114,7 +115,17 @@ _PRIOR = _POP + f""", p0 AS (SELECT chrom, pos, ref, {", ".join(f"max(af) FILTER
 pr AS (SELECT chrom, pos, {", ".join(f"CASE WHEN ref = '{b}' THEN 1 - other * scale ELSE coalesce(g{b}, 0) * scale END AS f{b}" for b in _B)} FROM (SELECT *, CASE WHEN other > 1 THEN 0.99 / other ELSE 1 END AS scale FROM (SELECT *, {_OTHER} AS other FROM p0)))"""
 _FREQ = lambda x: "coalesce(nullif(CASE " + x + " " + " ".join(f"WHEN '{b}' THEN f{b}" for b in _B) + " END, 0), 1e-5)"
 
+_KEPT = _CONS + ", " + H.kept(_sf("n", "d", "0.003")) + H.INDIVIDUAL
+_GENO = _KEPT + _SITES[len(_EVENTS) :] + ", " + _PRIOR + H.genotypes(_FREQ("base"), 250)
+
 ORACLE_SQL: dict[str, str] = {
+    "umi_histogram": _w(_EVENTS + ", " + H.UMI, H.UMI_ROWS),
+    "spot_histogram": _w(_CONS + ", " + H.SPOT, H.SPOT_ROWS),
+    "cluster_histogram": _w(_CONS + ", " + H.CLUSTER, H.CLUSTER_ROWS),
+    "allele_filter_histogram": _w(_KEPT, H.FILTER_ROWS),
+    "individual_histogram": _w(_KEPT, "SELECT * FROM hw"),
+    "individual_genotype": _w(_GENO, H.GENOTYPE_ROWS),
+    "individual_germline": _w(_GENO, H.GERMLINE_ROWS),
     "classify_candidates": _w(_ALLELES, "SELECT * FROM (SELECT chrom, pos, ref, allele2 AS alt1, count2 >= 5 AND depth >= 30 AND count2 / depth >= 0.001 AND count2 / depth <= 0.6 AS is_somatic, depth >= 100 AND count1 / depth >= 0.95 AND count2 >= 5 AS is_error, depth AS total_depth, count1 AS ref_depth, count2 AS alt1_depth, round(count2 / depth, 6) AS vaf FROM al WHERE depth >= 30) WHERE is_somatic OR is_error"),
     "order_alleles_by_count": _w(_ALLELES, "SELECT * FROM al"),
     "agg_umi": _w(_UMI, "SELECT chrom, pos, barcode, umi, nA, nT, nC, nG, reads, reverse, strand FROM um"),

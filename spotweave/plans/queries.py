@@ -12,7 +12,7 @@ from spotweave.functions import prob
 from spotweave.operators import events as E
 from spotweave.operators import features as X
 from spotweave.operators import genotype as T
-from spotweave.operators import filters, grouped, intervals, ml, phasing, signatures
+from spotweave.operators import filters, grouped, histograms, individual, intervals, ml, phasing, signatures
 from spotweave.operators import read_features as read_level
 from spotweave.operators import reads as R
 from spotweave.plans import demo
@@ -158,6 +158,63 @@ def spot_posterior(s, d):
     return T.spot_posterior(joined).select("chrom", "pos", "barcode", "r", "a", "g_spot", F.round("p_mosaic", 4).alias("p_mosaic"))
 
 
+_TEXTS = [*histograms.COUNTS, *[f"q{b}" for b in G.BASES]]
+
+
+def _spot_rows(s: SparkSession, d: str) -> DataFrame:
+    return histograms.spot_histograms(written(histograms.spot_cells(_consensus(s, d))))
+
+
+def _cluster_rows(s: SparkSession, d: str) -> DataFrame:
+    return histograms.cluster_histograms(_spot_rows(s, d), demo.clusters(s).select("barcode", "cluster"))
+
+
+def _individual_rows(s: SparkSession, d: str) -> DataFrame:
+    return histograms.individual_histograms(histograms.filter_alleles(_cluster_rows(s, d)))
+
+
+@query
+def umi_histogram(s, d):
+    out = histograms.with_texts(histograms.umi_histograms(demo.events(s, d)), "rank")
+    return out.select("chrom", "pos", "barcode", "umi", "strand", *_TEXTS)
+
+
+@query
+def spot_histogram(s, d):
+    return histograms.with_texts(_spot_rows(s, d), "rank").select("chrom", "pos", "strand", "ref", "alt", "barcode", "error_allele", *_TEXTS)
+
+
+@query
+def cluster_histogram(s, d):
+    return histograms.with_texts(_cluster_rows(s, d), "name", 20).select("chrom", "pos", "strand", "ref", "alt", "cluster", "spot_number", *_TEXTS)
+
+
+@query
+def allele_filter_histogram(s, d):
+    out = histograms.with_texts(histograms.filter_alleles(_cluster_rows(s, d)), "count", 20)
+    return out.select("chrom", "pos", "strand", "ref", "alt", "cluster", "spot_number", *_TEXTS)
+
+
+@query
+def individual_histogram(s, d):
+    return histograms.with_texts(_individual_rows(s, d), "name", 20).select("chrom", "pos", "strand", "ref", "alt", "spot_number", *_TEXTS)
+
+
+def _germlines(s: SparkSession, d: str) -> DataFrame:
+    return individual.germline_alleles(T.join_prior_left(_individual_rows(s, d), _priors(s, d)), most_depth=250)
+
+
+@query
+def individual_genotype(s, d):
+    return individual.individual_genotypes(_germlines(s, d)).drop("cluster").withColumns({"p_mosaic": F.round("p_mosaic", 4), "vaf_hat": r6("vaf_hat")})
+
+
+@query
+def individual_germline(s, d):
+    out = individual.germline_report(_germlines(s, d))
+    return out.withColumns({"prior1": r6(F.get("germ_prior", F.lit(0))), "prior2": r6(F.get("germ_prior", F.lit(1)))}).drop("germ_prior")
+
+
 @query
 def downsample_hist(s, d):
     hist = E.spot_histogram(_consensus(s, d)).groupBy("chrom", "pos", "allele", "phred").agg(F.sum("n").alias("n"))
