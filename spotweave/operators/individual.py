@@ -23,8 +23,8 @@ def downsampled(cells: Column, most_depth: int) -> Column:
     return bind(F.struct(cells.alias("cells"), factor.alias("factor")), lambda x: F.transform(x["cells"], lambda c: F.struct(c["allele"].alias("allele"), c["phred"].alias("phred"), c["n"].alias("n0"), F.when(x["factor"].isNotNull(), F.bround(c["n"] * x["factor"]).cast("long")).otherwise(c["n"]).alias("n"))))
 
 
-def _alleles(pop_vaf: float) -> Column:
-    """Of each base: count (negative first, so that sorting puts the most frequent first), prior, and the sums that likelihoods need."""
+def allele_sums(cells: str, base: Column) -> Column:
+    """Of the downsampled cells of a base: n0, n, and sums of ln(1 - e), ln(e) and e."""
     begin = F.struct(F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("right"), F.lit(0.0).alias("wrong"), F.lit(0.0).alias("miss"))
 
     def step(t: Column, c: Column) -> Column:
@@ -32,10 +32,14 @@ def _alleles(pop_vaf: float) -> Column:
         right, wrong = c["n"] * F.log(F.greatest(1 - e, F.lit(1e-12))), c["n"] * F.log(e)
         return F.struct((t["n0"] + c["n0"]).alias("n0"), (t["n"] + c["n"]).alias("n"), (t["right"] + right).alias("right"), (t["wrong"] + wrong).alias("wrong"), (t["miss"] + c["n"] * e).alias("miss"))
 
+    return F.aggregate(F.filter(cells, lambda c: c["allele"] == base), begin, step)
+
+
+def _alleles(pop_vaf: float) -> Column:
+    """Of each base: count (negative first, so that sorting puts the most frequent first), prior, and the sums that likelihoods need."""
     def one(i: int, b: str) -> Column:
         prior = F.when(F.coalesce(F.col(f"f{b}"), F.lit(0.0)) == 0, pop_vaf).otherwise(F.col(f"f{b}"))
-        sums = F.aggregate(F.filter("sampled", lambda c: c["allele"] == b), begin, step)
-        return bind(F.struct(prior.alias("prior"), sums.alias("s")), lambda x: F.struct((-x["s"]["n"]).alias("minus"), F.lit(i).alias("i"), F.lit(b).alias("base"), x["prior"].alias("prior"), x["s"].alias("s")))
+        return bind(F.struct(prior.alias("prior"), allele_sums("sampled", F.lit(b)).alias("s")), lambda x: F.struct((-x["s"]["n"]).alias("minus"), F.lit(i).alias("i"), F.lit(b).alias("base"), x["prior"].alias("prior"), x["s"].alias("s")))
 
     return F.array(*[one(i, b) for i, b in enumerate(BASES)])
 
