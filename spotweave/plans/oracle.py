@@ -118,6 +118,8 @@ _FREQ = lambda x: "coalesce(nullif(CASE " + x + " " + " ".join(f"WHEN '{b}' THEN
 _KEPT = _CONS + ", " + H.kept(_sf("n", "d", "0.003")) + H.INDIVIDUAL
 _GENO = _KEPT + _SITES[len(_EVENTS) :] + ", " + _PRIOR + H.genotypes(_FREQ("base"), 250)
 
+_CELLN = "tt AS (SELECT barcode, cluster, count(DISTINCT chrom || '_' || pos || '_' || umi) AS n_umi FROM ev JOIN bc USING (barcode) GROUP BY ALL), md AS (SELECT quantile_cont(n_umi, 0.5) AS m FROM tt GROUP BY cluster ORDER BY sum(n_umi) DESC, cluster DESC LIMIT 1), cn AS (SELECT barcode, CAST(CASE WHEN m > 0 THEN least(25, ceil(round(20 * n_umi / m, 9))) ELSE 1 END AS BIGINT) AS number FROM tt, md)"
+
 ORACLE_SQL: dict[str, str] = {
     "umi_histogram": _w(_EVENTS + ", " + H.UMI, H.UMI_ROWS),
     "spot_histogram": _w(_CONS + ", " + H.SPOT, H.SPOT_ROWS),
@@ -125,6 +127,7 @@ ORACLE_SQL: dict[str, str] = {
     "allele_filter_histogram": _w(_KEPT, H.FILTER_ROWS),
     "individual_histogram": _w(_KEPT, "SELECT * FROM hw"),
     "individual_genotype": _w(_GENO, H.GENOTYPE_ROWS),
+    "spot_genotype": _w(_GENO + ", " + _CELLN + H.SPOT_GENO, H.SPOT_GENO_ROWS),
     "individual_germline": _w(_GENO, H.GERMLINE_ROWS),
     "classify_candidates": _w(_ALLELES, "SELECT * FROM (SELECT chrom, pos, ref, allele2 AS alt1, count2 >= 5 AND depth >= 30 AND count2 / depth >= 0.001 AND count2 / depth <= 0.6 AS is_somatic, depth >= 100 AND count1 / depth >= 0.95 AND count2 >= 5 AS is_error, depth AS total_depth, count1 AS ref_depth, count2 AS alt1_depth, round(count2 / depth, 6) AS vaf FROM al WHERE depth >= 30) WHERE is_somatic OR is_error"),
     "order_alleles_by_count": _w(_ALLELES, "SELECT * FROM al"),

@@ -79,3 +79,23 @@ GENOTYPE_ROWS = """SELECT chrom, pos, strand, germline, mutant, spot_number, nA
   round(1 / (1 + pow(10.0, pg - p4)), 4) AS p_mosaic, CASE WHEN p4 > pg OR geno = 'het' THEN '0/1' WHEN geno = 'althom' THEN '1/1' ELSE '0/0' END AS Gi, round(vaf_hat, 6) AS vaf_hat FROM gx JOIN hw USING (chrom, pos)"""
 GERMLINE_ROWS = """SELECT chrom, pos, geno AS germline_geno, CASE WHEN geno = 'refhom' THEN rb ELSE rb || ',' || ab END AS germline_allele, CASE WHEN geno = 'refhom' THEN CAST(rn AS VARCHAR) ELSE rn || ',' || an END AS germ_count,
   round(rf, 6) AS prior1, CASE WHEN geno <> 'refhom' THEN round(af, 6) END AS prior2 FROM gm"""
+
+#: Spots of mosaic candidates: cn has (barcode, number), xs a row for each spot and candidate with its bases' sums.
+SPOT_GENO = """, gz AS (SELECT chrom, pos, strand, germline, mutant, string_split(germline, ',') AS gl FROM gx JOIN hw USING (chrom, pos) WHERE p4 > pg),
+sv AS (SELECT chrom, pos, mutant, cluster, coalesce(sum(n) FILTER (allele = mutant), 0) / sum(n) AS v FROM gz JOIN (SELECT chrom, pos, cluster, allele, n FROM hk SEMI JOIN kb USING (chrom, pos, allele)) USING (chrom, pos) GROUP BY ALL),
+sb AS (SELECT chrom, pos, barcode, allele, sum(n) AS n, sum(n * ln(1 - pow(10, -phred / 10.0))) AS rt, sum(n * ln(pow(10, -phred / 10.0))) AS wr, sum(n * pow(10, -phred / 10.0)) AS ms FROM hs WHERE phred >= 20 GROUP BY ALL),
+dp AS (SELECT chrom, pos, barcode, CAST(coalesce(sum(n) FILTER (phred >= 20), 0) AS BIGINT) AS depth FROM hs GROUP BY ALL),
+xs AS (SELECT gz.*, dp.barcode, dp.depth, bc.cluster, coalesce(v, 0) AS v, coalesce(number, 20) AS number, least(greatest(coalesce(v, 0), 0), 1) AS w, coalesce(m.n, 0) AS mn, coalesce(m.wr, 0) AS mw, coalesce(m.ms, 0) AS mm,
+    coalesce(a.n, 0) AS an, coalesce(a.rt, 0) AS ar, coalesce(a.ms, 0) AS am, coalesce(b.n, 0) AS bn, coalesce(b.rt, 0) AS br, coalesce(b.ms, 0) AS bm
+  FROM gz JOIN dp ON dp.chrom = gz.chrom AND dp.pos = gz.pos LEFT JOIN bc ON bc.barcode = dp.barcode LEFT JOIN sv ON sv.chrom = gz.chrom AND sv.pos = gz.pos AND sv.mutant = gz.mutant AND sv.cluster = bc.cluster LEFT JOIN cn ON cn.barcode = dp.barcode
+  LEFT JOIN sb m ON m.chrom = gz.chrom AND m.pos = gz.pos AND m.barcode = dp.barcode AND m.allele = gz.mutant
+  LEFT JOIN sb a ON a.chrom = gz.chrom AND a.pos = gz.pos AND a.barcode = dp.barcode AND a.allele = gl[1]
+  LEFT JOIN sb b ON b.chrom = gz.chrom AND b.pos = gz.pos AND b.barcode = dp.barcode AND b.allele = gl[2]),
+xw AS (SELECT * EXCLUDE (w), CASE w WHEN 0 THEN 1e-5 WHEN 1 THEN 1 - 1e-5 ELSE w END AS w FROM xs),
+xl AS (SELECT *, CASE WHEN an > 0 OR bn = 0 THEN exp(lgamma(an + mn + 1) - lgamma(an + 1) - lgamma(mn + 1) + ar + mw) ELSE 0 END + CASE WHEN bn > 0 THEN exp(lgamma(bn + mn + 1) - lgamma(bn + 1) - lgamma(mn + 1) + br + mw) ELSE 0 END AS lg,
+    CASE WHEN an > 0 OR bn = 0 THEN exp(lgamma(an + mn + 1) - lgamma(an + 1) - lgamma(mn + 1)) * pow(w, am + mn - mm) * pow(1 - w, an + mm - am) ELSE 0 END
+    + CASE WHEN bn > 0 THEN exp(lgamma(bn + mn + 1) - lgamma(bn + 1) - lgamma(mn + 1)) * pow(w, bm + mn - mm) * pow(1 - w, bn + mm - bm) ELSE 0 END AS lm, CASE WHEN v < 0.5 THEN pow(1 - 2 * v, number) ELSE 1e-5 END AS none FROM xw),
+xp AS (SELECT *, an + bn + mn > 0 AS known, lm / (lg + lm) AS share, (1 - none) * lm / ((1 - none) * lm + none * lg) AS p FROM xl),
+xr AS (SELECT *, CASE WHEN (mn > 0 AND share < 0.5) OR (mn = 0 AND share > 0.5) THEN 0.5 ELSE share END AS half, mn > 0 AND p > 0.5 AS hit FROM xp)"""
+SPOT_GENO_ROWS = """SELECT chrom, pos, strand, germline, mutant, cluster, barcode, CASE WHEN known THEN round(1 - half, 4) END AS l_germline, CASE WHEN known THEN round(half, 4) END AS l_mosaic, CASE WHEN known THEN CASE WHEN hit THEN 'mosaic' ELSE 'germline' END END AS genotype,
+  CASE WHEN known THEN CASE WHEN hit THEN '0/1' ELSE '0/0' END END AS Gi, depth, CASE WHEN known THEN round(mn / depth, 6) END AS vaf, CASE WHEN known THEN round(CASE WHEN mn = 0 THEN least(p, 0.5) ELSE p END, 4) END AS p_mosaic FROM xr"""

@@ -12,7 +12,7 @@ from spotweave.functions import prob
 from spotweave.operators import events as E
 from spotweave.operators import features as X
 from spotweave.operators import genotype as T
-from spotweave.operators import filters, grouped, histograms, individual, intervals, ml, phasing, signatures
+from spotweave.operators import filters, grouped, histograms, individual, intervals, ml, phasing, signatures, spot_genotype as spot_level
 from spotweave.operators import read_features as read_level
 from spotweave.operators import reads as R
 from spotweave.plans import demo
@@ -154,7 +154,7 @@ def spot_posterior(s, d):
         F.sum(F.when(is_alt, F.col("n") * F.log(e)).otherwise(0.0)).alias("alt_wrong"), F.sum(F.when(is_ref, F.col("n") * e).when(is_alt, F.col("n") * (1 - e)).otherwise(0.0)).alias("expected_alt"),
     )
     vaf = E.join_cluster_vaf_calc(_clusters(s, d), _mutants(s, d)).select("chrom", "pos", "cluster", "cluster_vaf")
-    joined = spots.join(demo.clusters(s).select("barcode", "cluster"), "barcode", "left").join(vaf, ["chrom", "pos", "cluster"], "left").withColumn("cells", F.lit(5))
+    joined = spots.join(demo.clusters(s).select("barcode", "cluster"), "barcode", "left").join(vaf, ["chrom", "pos", "cluster"], "left").join(cell_number(s, d).select("barcode", F.col("refined_cell_num").alias("cells")), "barcode", "left")
     return T.spot_posterior(joined).select("chrom", "pos", "barcode", "r", "a", "g_spot", F.round("p_mosaic", 4).alias("p_mosaic"))
 
 
@@ -215,6 +215,17 @@ def individual_germline(s, d):
     return out.withColumns({"prior1": r6(F.get("germ_prior", F.lit(0))), "prior2": r6(F.get("germ_prior", F.lit(1)))}).drop("germ_prior")
 
 
+@query
+def spot_genotype(s, d):
+    spots = written(_spot_rows(s, d))
+    clusters = demo.clusters(s).select("barcode", "cluster")
+    kept = written(histograms.filter_alleles(histograms.cluster_histograms(spots, clusters)))
+    known = T.join_prior_left(histograms.individual_histograms(kept), _priors(s, d))
+    genotypes = written(individual.individual_genotypes(individual.germline_alleles(known, most_depth=250)))
+    out = spot_level.spot_genotypes(spot_level.join_spots(spots, genotypes, clusters, spot_level.cluster_shares(kept, genotypes), cell_number(s, d)))
+    return out.withColumns({c: F.round(c, 4) for c in ("l_germline", "l_mosaic", "p_mosaic")} | {"vaf": r6("vaf")})
+
+
 @query
 def downsample_hist(s, d):
     hist = E.spot_histogram(_consensus(s, d)).groupBy("chrom", "pos", "allele", "phred").agg(F.sum("n").alias("n"))

@@ -26,7 +26,7 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["interval_join_gene_het", "interval_join_cluster_region", "interval_subtract_bed", "asof_mappability", "win_merge_intervals", "win_gap_sessionize", "umi_consensus", "join_cluster_vaf_calc", "interval_left_gene", "rule_filtration", "umi_event_explode", "filter_reads_quality", "filter_reads_by_barcode", "filter_ase_germline", "join_prior_lookup", "RNA_editing", "agg_phase_haplotypes", "haplotype_balance_gate", "discordant_prop", "fisher_2x2", "read_features", "signature_fit", "hFDR", "phase_classify", "mutation_origin", "cluster_events", "agg_phase_summary", "agg_site_spatial", "individual_posterior", "join_prior_left", "join_wide_features", "set_except", "sample_reservoir", "umi_histogram", "spot_histogram", "cluster_histogram", "allele_filter_histogram", "individual_histogram", "individual_genotype", "individual_germline"])
+@pytest.mark.parametrize("name", ["interval_join_gene_het", "interval_join_cluster_region", "interval_subtract_bed", "asof_mappability", "win_merge_intervals", "win_gap_sessionize", "umi_consensus", "join_cluster_vaf_calc", "interval_left_gene", "rule_filtration", "umi_event_explode", "filter_reads_quality", "filter_reads_by_barcode", "filter_ase_germline", "join_prior_lookup", "RNA_editing", "agg_phase_haplotypes", "haplotype_balance_gate", "discordant_prop", "fisher_2x2", "read_features", "signature_fit", "hFDR", "phase_classify", "mutation_origin", "cluster_events", "agg_phase_summary", "agg_site_spatial", "individual_posterior", "join_prior_left", "join_wide_features", "set_except", "sample_reservoir", "umi_histogram", "spot_histogram", "cluster_histogram", "allele_filter_histogram", "individual_histogram", "individual_genotype", "individual_germline", "spot_genotype"])
 def test_query(spark, name):
     c = duckdb.connect()
     for t in TABLES:
