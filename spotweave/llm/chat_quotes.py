@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spotweave.llm.tables import written
 from spotweave.llm.text import SLICE_BYTES, slices
@@ -90,10 +91,13 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     asked = units.select("hash").distinct()
     said = said.join(asked, "hash", "left_semi")
     here = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("h_turn"))
-    least = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("g"))
+    # The two least conversations: where the first is the quoting one, the second holds the outside original.
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))
+    firsts = here.withColumn("place", place).where("place <= 2")
+    least = firsts.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("conv_id", F.col("h_turn").alias("turn")))).alias("g"))
     near = units.join(here, ["conv_id", "hash"], "left").join(least, "hash", "left")
     inside = F.when(F.col("h_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("conv_id"), F.col("h_turn").alias("turn")))
-    outside = F.when(~F.col("g.conv_id").eqNullSafe(F.col("conv_id")), F.col("g"))
+    outside = F.get(F.filter("g", lambda x: ~x["conv_id"].eqNullSafe(F.col("conv_id"))), F.lit(0))
     found = near.withColumn("original", F.coalesce(inside, outside)).where("original is not null")
     best = found.groupBy("row", "passage", "level").agg(F.max_by("original", F.struct("chars", "hash")).alias("original"), F.max("chars").alias("chars"))
     direct = (F.col("level") == 1)

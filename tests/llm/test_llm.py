@@ -295,6 +295,14 @@ def test_quotes(spark):
     assert chat_quotes.link_quotes(d.limit(0)).count() == 0
 
 
+def test_quotes_find_the_original_behind_their_own_conversation(spark):
+    """The least conversation with a text is the quoting one, which says it only later; repeated rows change nothing."""
+    x = "a sentence that two conversations contain"
+    rows = [(1, 1, "u", f"> {x}\nwho said so?"), (1, 3, "a", x), (2, 4, "u", x), (2, 4, "u", x), (3, 0, "u", x), (4, 0, "u", f"> {x}\nagain")]
+    got = {(r.conv_id, r.turn): (r.quoted_conv, r.quoted_turn) for r in chat_quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 1): (2, 4), (1, 3): (None, None), (2, 4): (None, None), (3, 0): (None, None), (4, 0): (1, 3)}
+
+
 def test_language(spark):
     en, de = "the cat and the dog were in the house of the king", "der hund und die katze waren in dem haus des königs"
     texts = [(i, (en if i % 2 else de) + f" {i}") for i in range(60)] + [(100, None), (101, "123 !!"), (102, ""), (103, "The Dog and the King")]
