@@ -215,7 +215,7 @@ ORACLE_SQL: dict[str, str] = {
     "join_prior_lookup": _w(_SITES + ", po AS (SELECT 'chr' || CAST(1 + p_partkey % 60 % 3 AS VARCHAR) AS chrom, 1000 + 4 * (p_partkey % 60) AS pos, substr('ATCG', CAST(1 + p_partkey % 4 AS INT), 1) AS ref, substr('ATCG', CAST(1 + (p_partkey + 1 + p_size % 3) % 4 AS INT), 1) AS alt, p_size / 100 AS af FROM part)", "SELECT chrom, pos, ref, " + ", ".join(f"max(af) FILTER (alt = '{b}') AS f{b}" for b in _B) + " FROM po WHERE EXISTS (SELECT 1 FROM st WHERE st.chrom = po.chrom AND st.pos = po.pos AND st.ref = po.ref) GROUP BY ALL"),
     "RNA_editing": _w(_VAR + ", " + _GENES + f", rc AS (SELECT chrom, pos, contains({_RNA}, 'A>G') AS ag, EXISTS (SELECT 1 FROM gn WHERE gn.chrom = va.chrom AND gn.\"start\" = va.pos) AS db FROM va)", "SELECT chrom, pos, db AS editing_database, ag AS editing_AtoG, db OR ag AS RNA_editing FROM rc"),
     "agg_cluster_spatial": _w(_SPOT, "SELECT chrom, pos, cluster, count(*) AS spot_count, CAST(sum(depth) AS BIGINT) AS depth, CAST(sum(alt) AS BIGINT) AS mutant_allele_num, count(*) FILTER (alt > 0) AS has_mutant_allele, count(*) FILTER (alt > 0) AS high_prob, round(avg(vaf), 6) AS vaf, round(sum(alt) / sum(depth), 6) AS vaf_unnom, round(count(*) FILTER (alt > 0) / count(*), 6) AS mutant_prop_vaf, round(count(*) FILTER (alt > 0) / count(*), 6) AS mutant_prop_prob FROM ss GROUP BY ALL"),
-    "cross_mosaic_hsnp": _w(_CROSS, "SELECT chrom, region, pos, snp_pos FROM cr"),
+    "cross_mosaic_hsnp": _w(_CONS + _ALLELES[len(_EVENTS) :] + ", " + _MOSAIC, "SELECT mz.chrom, region, mz.pos, al.pos AS snp_pos FROM mz JOIN al ON al.chrom = mz.chrom AND (al.pos - 1000) // 80 = region AND count2 / depth >= 0.3 AND al.pos <> mz.pos"),
     "agg_phase_haplotypes": _w(_HAPLO, "SELECT chrom, pos, snp_pos, base, snp_base, n FROM ha"),
     "haplotype_balance_gate": _w(_GATE, "SELECT chrom, pos, snp_pos, h1, h2, dp, balanced FROM gt"),
     "discordant_prop": "SELECT p_partkey, round(CASE WHEN p_partkey % 8 = 0 THEN 0 WHEN p_partkey % 2 = 0 THEN CASE WHEN v3 < v4 THEN coalesce(v3 / nullif(v1 + v3, 0), 0) ELSE coalesce(v4 / nullif(v2 + v4, 0), 0) END WHEN v2 < v3 THEN coalesce(v3 / nullif(v1 + v3, 0), 0) WHEN v2 > 0 THEN 1 ELSE 0 END, 6)::DOUBLE AS prop FROM (SELECT p_partkey, p_partkey % 50 AS v1, p_partkey * 3 % 17 AS v2, p_partkey * 5 % 11 AS v3, p_partkey * 7 % 13 AS v4 FROM part)",

@@ -428,12 +428,17 @@ def bh_fdr(s, d):
     return X.bh_fdr(p, ["g"]).select("p_partkey", r6("p_adj").alias("p_adj"))
 
 
+def _ordered(s: SparkSession, d: str) -> DataFrame:
+    """All sites with their alleles by count, region and het: whether the second allele is frequent."""
+    x = E.order_alleles_by_count(_sites(s, d))
+    return x.withColumns({"het": F.col("count2") / F.col("depth") >= 0.3, "region": F.floor((F.col("pos") - 1000) / 80)})
+
+
 def _mosaics(s: SparkSession, d: str) -> DataFrame:
     """(chrom, pos, ref, region, germline, mutant, het): a site with a frequent second allele is heterozygous, and its third one is the mutant."""
-    x = E.order_alleles_by_count(_sites(s, d)).withColumn("het", F.col("count2") / F.col("depth") >= 0.3)
-    x = x.where(F.when(F.col("het"), F.col("count3")).otherwise(F.col("count2")) > 0)
+    x = _ordered(s, d).where(F.when(F.col("het"), F.col("count3")).otherwise(F.col("count2")) > 0)
     germline = F.when(F.col("het"), F.array("ref", "allele2")).otherwise(F.array("ref"))
-    return x.select("chrom", "pos", "ref", F.floor((F.col("pos") - 1000) / 80).alias("region"), germline.alias("germline"), F.when(F.col("het"), F.col("allele3")).otherwise(F.col("allele2")).alias("mutant"), "het")
+    return x.select("chrom", "pos", "ref", "region", germline.alias("germline"), F.when(F.col("het"), F.col("allele3")).otherwise(F.col("allele2")).alias("mutant"), "het")
 
 
 def _phased(s: SparkSession, d: str) -> DataFrame:
@@ -700,6 +705,12 @@ def agg_cluster_spatial(s, d):
 
 @query
 def cross_mosaic_hsnp(s, d):
+    snps = _ordered(s, d).where("het")  # with or without a third allele
+    return phasing.cross_mosaic_hsnp(_mosaics(s, d).select("chrom", "pos", "region"), snps.select("chrom", "pos", "region"))
+
+
+def _mosaic_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The pairs whose germline site has a mutant too, as the SQL of the haplotype queries takes them."""
     sites = _mosaics(s, d)
     return phasing.cross_mosaic_hsnp(sites.select("chrom", "pos", "region"), sites.where("het").select("chrom", "pos", "region"))
 
@@ -710,7 +721,7 @@ def _calls(s: SparkSession, d: str) -> DataFrame:
 
 
 def _haplotypes(s: SparkSession, d: str) -> DataFrame:
-    return phasing.agg_phase_haplotypes(cross_mosaic_hsnp(s, d), written(_calls(s, d)))
+    return phasing.agg_phase_haplotypes(_mosaic_pairs(s, d), written(_calls(s, d)))
 
 
 @query

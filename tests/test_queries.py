@@ -35,3 +35,13 @@ def test_query(spark, name):
     got = QUERIES[name](spark, str(FOLDER)).toPandas()[list(want.columns)]
     rows = lambda df: sorted(tuple(map(plain, r)) for r in df.itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
+def test_germline_site_without_a_third_allele(spark, tmp_path):
+    spark.read.parquet(f"{FOLDER}/lineitem.parquet").where("l_orderkey % 97 < 90").write.parquet(f"{tmp_path}/lineitem.parquet")  # the others have the third alleles
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["cross_mosaic_hsnp"](spark, str(tmp_path)).select("chrom", "region", "pos", "snp_pos").collect())
+    assert got and got == sorted(c.sql(ORACLE_SQL["cross_mosaic_hsnp"]).fetchall())
+    assert {r[3] for r in got} == {1000 + 4 * s for s in range(11, 60, 12)}
