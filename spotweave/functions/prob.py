@@ -105,8 +105,8 @@ def normal_sf(z: Column) -> Column:
 def bh_adjusted(p: Column, every: Column) -> Column:
     """Benjamini-Hochberg's value of p among the array `every`; nulls count for nothing and stay null."""
     known = F.array_sort(F.filter(every, lambda x: x.isNotNull()))
-    scaled = F.transform(known, lambda x, i: F.struct(x.alias("p"), (x * F.size(known) / (i + 1)).alias("q")))
-    return F.when(p.isNotNull(), F.least(F.lit(1.0), F.array_min(F.transform(F.filter(scaled, lambda s: s["p"] >= p), lambda s: s["q"]))))
+    scaled = lambda k: F.transform(k, lambda x, i: F.struct(x.alias("p"), (x * F.size(k) / (i + 1)).alias("q")))
+    return F.when(p.isNotNull(), bind(known, lambda k: F.least(F.lit(1.0), F.array_min(F.transform(F.filter(scaled(k), lambda s: s["p"] >= p), lambda s: s["q"])))))
 
 
 def log10_sum(parts: list[Column]) -> Column:
@@ -116,14 +116,31 @@ def log10_sum(parts: list[Column]) -> Column:
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Exact test of the table (a, b), (c, d): all tables with the same margins that are no likelier, up to rounding."""
+    """Exact test of the table (a, b), (c, d): all tables with the same margins that are no likelier, up to rounding.
+
+    Terms come from one another and are divided by their sum. By Hoeffding's bound, tables further than sqrt(373 n) from the mean, n the
+    least margin, have less than e^-746, which is 0 as a double; they are not listed, so the work grows with the root of the counts.
+    """
     row, other, col = a + b, c + d, a + c
-    at = lambda k: ln_choose(row, k) + ln_choose(other, col - k) - ln_choose(row + other, col)
-    tables = F.sequence(F.greatest(col - other, F.lit(0)).cast("long"), F.least(row, col).cast("long"))
-    logs = F.transform(tables, lambda k: at(k.cast("double")))
-    own = F.get(logs, (a - F.greatest(col - other, F.lit(0))).cast("int"))
-    total = F.aggregate(F.transform(F.array(F.struct(logs.alias("all"), own.alias("own"))), lambda s: F.transform(s["all"], lambda x: F.when(x <= s["own"] + 1e-7, F.exp(x)).otherwise(0.0)))[0], F.lit(0.0), lambda t, x: t + x)
-    return F.least(F.lit(1.0), total)
+    half = F.ceil(F.sqrt(373 * F.least(row, other, col, b + d))) + 2
+    middle = row * col / F.greatest(row + other, F.lit(1))
+    first = F.greatest(F.floor(middle) - half, col - other, F.lit(0)).cast("long")
+    last = F.least(F.floor(middle) + 1 + half, row, col).cast("long")
+    margins = F.struct(*[x.cast("double").alias(n) for n, x in (("a", a), ("row", row), ("other", other), ("col", col))], first.alias("first"), last.alias("last"))
+
+    def tail(m: Column) -> Column:
+        at = lambda k: ln_choose(m["row"], k) + ln_choose(m["other"], m["col"] - k) - ln_choose(m["row"] + m["other"], m["col"])
+        begin = F.struct(at(m["first"].cast("double")).alias("log"), F.lit(0.0).alias("all"), F.lit(0.0).alias("tail"))
+        more = lambda k: F.log((m["row"] - k) * (m["col"] - k) / ((k + 1) * (m["other"] - m["col"] + k + 1)))  # noqa: E731  null behind the last table
+        own = F.aggregate(F.slice(F.sequence(m["first"], m["last"]), F.lit(1), (m["a"] - m["first"]).cast("int")), begin["log"], lambda l, k: l + more(k))  # the same sum as the table's own below
+
+        def step(x: Column, k: Column, limit: Column) -> Column:
+            return F.struct((x["log"] + more(k)).alias("log"), (x["all"] + F.exp(x["log"])).alias("all"), F.when(x["log"] <= limit, x["tail"] + F.exp(x["log"])).otherwise(x["tail"]).alias("tail"))
+
+        p = bind(own + 1e-7, lambda limit: F.aggregate(F.sequence(m["first"], m["last"]), begin, lambda x, k: step(x, k, limit), lambda x: x["tail"] / x["all"]))
+        return F.when(m["a"].between(m["first"], m["last"]), p).when(m["a"].isNotNull(), 0.0)
+
+    return F.least(F.lit(1.0), bind(margins, tail))
 
 
 def chi_square_yates(a: Column, b: Column, c: Column, d: Column) -> Column:

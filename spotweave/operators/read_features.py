@@ -1,6 +1,7 @@
 """What the reads of a variant look like: rank sums of ten measures, four exact tests, shares and averages, one row a site.
 
-Reads meet the sites by bins of positions, as in `reads`. All rank sums come from one table of counts, (site, measure,
+Reads meet the sites by small bins of positions; the distinct sites are written first, so that Spark knows their size when it
+plans the join and reads needn't be shuffled for a short list. All rank sums come from one table of counts, (site, measure,
 value) with the numbers of the two samples: it is aggregated partially before its shuffle, so a deep site is many partial rows,
 and a window over a site's measure has a row for each distinct value, of which there are as many as qualities, places in a
 read or lengths. Nothing leaves the JVM.
@@ -12,14 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spotweave.functions.expressions import once
 from spotweave.functions.genome import BASES, base_rank
 from spotweave.functions.prob import bh_adjusted, fisher_two_sided, normal_sf
 from spotweave.operators.events import agg_umi, umi_consensus
-from spotweave.operators.reads import BIN, USE_REFERENCE, aligned_blocks
+from spotweave.operators.reads import USE_REFERENCE, aligned_blocks
 from spotweave.tables import written
 
 SITE = ["chrom", "pos", "ref", "alt"]
 
+#: Positions in a bin of the join, about as many as a short run of bases has: a run meets few sites that it doesn't cover.
+NEAR = 32
+
 #: CIGAR operations (fixed values): insertion, deletion, soft and hard clip.
 INSERTION, DELETION, SOFT, HARD = 1, 2, 4, 5
 
@@ -71,14 +76,14 @@ def observations(reads: DataFrame, variants: DataFrame) -> DataFrame:
         aligned_blocks(c, F.col("ref_start")).alias("blocks"), indel_blocks(c, F.col("ref_start")).alias("indels"),
     )
     gap = F.transform(F.filter("indels", lambda d: d["op"] == DELETION), lambda d: F.struct(F.lit(None).cast("int").alias("at"), d["start"].alias("start"), d["len"].alias("len")))
-    runs = tagged.withColumn("b", F.explode(F.concat("blocks", gap))).withColumn("bin", F.explode(F.sequence(F.floor((F.col("b.start") + 1) / BIN), F.floor((F.col("b.start") + F.col("b.len")) / BIN))))
-    wanted = variants.select("chrom", F.col("pos").cast("long").alias("pos"), "ref", "alt").distinct().withColumn("bin", F.floor(F.col("pos") / BIN))
+    runs = tagged.withColumn("b", F.explode(F.concat("blocks", gap))).withColumn("bin", F.explode(F.sequence(F.floor((F.col("b.start") + 1) / NEAR), F.floor((F.col("b.start") + F.col("b.len")) / NEAR))))
+    wanted = written(variants.select("chrom", F.col("pos").cast("long").alias("pos"), "ref", "alt").distinct()).withColumn("bin", F.floor(F.col("pos") / NEAR))
     met = runs.join(wanted, ["chrom", "bin"]).where((F.col("pos") > F.col("b.start")) & (F.col("pos") <= F.col("b.start") + F.col("b.len")))
     at = (F.col("b.at") + F.col("pos") - F.col("b.start") - 1).cast("int")
     covers = lambda blocks: F.exists(blocks, lambda d: (F.col("pos") > d["start"]) & (F.col("pos") <= d["start"] + d["len"]))
     follows = F.exists("blocks", lambda d: (F.col("pos") + 1 > d["start"]) & (F.col("pos") + 1 <= d["start"] + d["len"]))
     place = F.col("at") - F.col("left_soft")
-    out = met.withColumn("at", at).withColumn("deleted", F.col("at").isNull() | covers("indels")).withColumn("base", F.when(~F.col("deleted"), F.substr("seq", F.col("at") + 1, F.lit(1)))).withColumn("qual", F.when(~F.col("deleted"), F.get("quals", F.col("at"))))
+    out = once(met.withColumn("at", at), deleted=F.col("at").isNull() | covers("indels")).withColumn("base", F.when(~F.col("deleted"), F.substr("seq", F.col("at") + 1, F.lit(1)))).withColumn("qual", F.when(~F.col("deleted"), F.get("quals", F.col("at"))))
     return out.where("deleted or qual between 0 and 40").select(
         *SITE, "read_id", "barcode", "umi", "deleted", "base", "qual", F.when(~F.col("deleted") & follows, F.get("quals", F.col("at") + 1)).alias("next_qual"), "mismatches", "mapq", "mappers", "is_reverse", "left",
         (F.col("left_soft") + F.col("right_soft")).alias("softclip"), F.size("indels").alias("n_indels"), (place + F.col("left_soft") + F.col("left_hard")).alias("query"), (F.col("cut") - place + F.col("right_soft") + F.col("right_hard")).alias("sequenced"),
@@ -173,9 +178,9 @@ def read_features(observed: DataFrame) -> DataFrame:
     table = lambda name: fisher_two_sided(F.col(f"alt_{name}"), F.col("n_alt") - F.col(f"alt_{name}"), F.col(f"ref_{name}"), F.col("n_ref") - F.col(f"ref_{name}"))
     both = (F.col("n_ref") > 0) & (F.col("n_alt") > 0)
     exact = {"softclip_prop": F.when(both, table("clipped")), "reads_with_indel": table("gapped"), "multi_mapper": table("multi"), "strand_bias": table("reverse")}
-    tested = joined.withColumns({f"{n}_p": p for n, p in exact.items()})
+    tested = once(joined, **{f"{n}_p": p for n, p in exact.items()})
     every = F.array(*[F.col(f"{n}_p") for n in TESTS])
-    adjusted = tested.withColumn("_every", every).withColumns({f"{n}_p_adj": bh_adjusted(F.col(f"{n}_p"), F.col("_every")) for n in TESTS})
+    adjusted = once(tested, _every=every).withColumns({f"{n}_p_adj": bh_adjusted(F.col(f"{n}_p"), F.col("_every")) for n in TESTS})
 
     ratio = lambda a, b: F.when(b > 0, a / b)
     others = F.array(*[F.when((F.col("ref") != b) & (F.col("alt") != b), F.struct((-F.col(f"d{b}")).alias("m"), F.lit(i).alias("i"), F.col(f"share{b}").alias("share"))) for i, b in enumerate(BASES)])

@@ -94,3 +94,19 @@ def test_read_features(spark):
     assert all(getattr(r, f"{t}_p_adj") == pytest.approx(min(1, q[i])) for i, t in enumerate(R.TESTS))
     s = got[9]
     assert s.baseq_p is None and s.softclip_prop_p is None and s.multi_mapper_p == 1 and s.alt_softclip_prop is None and s.ref_softclip_prop == 0 and s.alt_UMI_avg_consistence is None and s.alt_querypos_num == 0
+
+
+def test_exact_test_of_any_depth(spark):
+    rng = random.Random(5)
+    rows = [(0, 0, 0, 0), (5, 0, 0, 0), (0, 5, 7, 0), (2000, 0, 0, 2000), *[tuple(rng.randint(0, m) for _ in range(4)) for m in (3, 40, 900) for _ in range(12)]]
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    def whole(a, b, c, d):
+        logs = {k: choose(a + b, k) + choose(c + d, a + c - k) - choose(a + b + c + d, a + c) for k in range(max(0, a - d), min(a + b, a + c) + 1)}
+        return min(1, sum(math.exp(x) for x in logs.values() if x <= logs[a] + 1e-7))
+
+    deep = [(3e9, 3e9, 3e9, 3e9), (4e9, 2e9, 2e9, 4e9)]  # more tables than an array holds
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows + deep], "a double, b double, c double, d double")
+    got = [r.p for r in df.select(prob.fisher_two_sided(*map(F.col, "abcd")).alias("p")).collect()]
+    assert all(p == pytest.approx(whole(*r), rel=1e-9, abs=1e-300) for p, r in zip(got, rows))
+    assert got[len(rows) :] == [pytest.approx(1), 0]
