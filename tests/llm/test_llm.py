@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from zlib import crc32
 
@@ -519,6 +520,31 @@ def test_lm_tells_texts_that_occur_twice(spark):
     assert twice and min(got[i].score for i in twice) > max(once)
 
 
+def test_lm_mixer_starts_from_all_training_texts():
+    """Texts beyond any number still teach the mixer; its weights are the tasks' own, by their bits."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 40_000)
+    x = rng.normal(size=(lm_scoring.TABLES, len(y))).astype(np.float32)
+    x[0] = np.where(y, 2, -2)  # the one that tells
+    gate = np.zeros(len(y), np.int32)
+    a, b = lm_scoring.Fit(), lm_scoring.Fit()
+    a.learn(x[:, :10_000], gate[:10_000], y[:10_000]), b.learn(x[:, 10_000:], gate[10_000:], y[10_000:])
+    m = lm_scoring.fitted_mixer(a.sums() + b.sums())
+    assert a.bits[0] + b.bits[0] == len(y) and np.allclose(m.weights[0], a.weights[0] / 4 + b.weights[0] * 3 / 4, rtol=1e-5) and m.weights[0, 0] > 0.8 and abs(m.weights[0, 1:]).max() < 0.1
+    assert (m.weights[1:] == 1 / lm_scoring.TABLES).all() and np.allclose(lm_scoring.fitted_mixer(None).weights, 1 / lm_scoring.TABLES)
+
+
+def test_lm_counting_task_learns_from_each_text(spark):
+    """All bits but those of a task's first run of texts are predicted and learnt from, whatever the number of texts."""
+    texts = [(i, words(i % 50, 40)) for i in range(700)]
+    code = lm_scoring.huffman([5, 3, 2, 1])
+    v = lm_scoring.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), code, 2, 3)
+    rows = table(spark, texts).coalesce(1).select("text").mapInArrow(lm_scoring._learner(v), "chunk long, part long, data binary").where(f"chunk = {lm_scoring.FITTED}").collect()
+    seen = np.frombuffer(zlib.decompress(rows[0].data))[-lm_scoring.GATES * lm_scoring.BINS :].sum()
+    bits = 40 * code.size[3] + code.size[2]  # of each text
+    assert len(rows) == 1 and (700 - lm_scoring.FIRST_WORDS // 40 - 1) * bits <= seen < 700 * bits
+
+
 def test_mixing(spark, docs):
     rows = [(i, "w " * (i % 13), f"s{i % 4}" if i % 9 else None) for i in range(400)] + [(900, None, "s9")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
