@@ -561,6 +561,25 @@ def test_lm_mixer_starts_from_all_training_texts():
     assert (m.weights[1:] == 1 / lm_scoring.TABLES).all() and np.allclose(lm_scoring.fitted_mixer(None).weights, 1 / lm_scoring.TABLES)
 
 
+def test_lm_texts_of_like_lengths_are_scored_together(monkeypatch):
+    """Long texts among short ones don't make each run of texts take as many steps as theirs."""
+    known = lm_scoring.hashes(pa.array([f"w{i}" for i in range(8)]))
+    order = np.argsort(known)
+    v = lm_scoring.Vocabulary(known[order], np.full(8, 100), order, lm_scoring.huffman([100] * 10), 8, 9)
+    texts = [" ".join(f"w{k % 8}" for k in range(n)) for _ in range(8) for n in (3000, *[300] * 10)]
+    steps, plainly = [], lm_scoring._mixed
+    monkeypatch.setattr(lm_scoring, "_mixed", lambda *a: steps.append(1) or plainly(*a))
+    monkeypatch.setattr(lm_scoring, "_WORDS_AT_ONCE", 6000)
+
+    class Shared:
+        value = np.zeros((lm_scoring.TABLES, 1 << lm_scoring.SLOT_BITS), np.float32), lm_scoring.fitted_mixer(None), 1
+
+    got = list(lm_scoring._scorer(v, 800, 9, lm_scoring.rare_words(0, 0, 0, 0), Shared)([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])]))
+    n_tokens = {i: n for b in got for i, n in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), strict=True)}
+    assert n_tokens == {i: len(t.split()) + 1 for i, t in enumerate(texts)}
+    assert len(steps) < 500  # 8 runs of long texts and short ones take about 80 each, or 4 runs of long ones and 4 of short ones
+
+
 def test_lm_counting_task_learns_from_each_text(spark):
     """All bits but those of a task's first run of texts are predicted and learnt from, whatever the number of texts."""
     texts = [(i, words(i % 50, 40)) for i in range(700)]
