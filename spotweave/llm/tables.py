@@ -1,5 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from spotweave.tables import shared_folder, written
+from spotweave.tables import dropped, settled, shared_folder, written
 
-__all__ = ["shared_folder", "written"]
+__all__ = ["dropped", "settled", "shared_folder", "written"]

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -310,6 +311,86 @@ def test_line_blocks_are_few_and_bear_insertions():
     assert np.mean([bool(x & y) for x, y in zip(found[:200], found[200:], strict=True)]) >= 0.9
 
 
+def test_rows_without_a_near_partner_go_before_texts_are_read(spark, monkeypatch):
+    """Of the rows of a key those stay that sizes and marks allow with another node's, and no similar pair loses the keys it shares."""
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    forms = []
+    for g in range(60):
+        w = [word(rng.sample("abcdefghijklmnopqrstuvwxyz", 9)) for _ in range(rng.randint(4, 60))]
+        forms += [" ".join(w), " ".join([*w[:-1], word("xyz")]), " ".join(w[: len(w) // 2])]
+    forms = sorted({f for f in forms if len(f) >= 10})
+    size, mark = np.array([len(f) for f in forms]), line_dedup.marks(pa.array(forms))
+    rows = [(key, i, int(size[i]), int(mark[i])) for key in (1, 2) for i in range(len(forms)) if key == 1 or i % 3]
+    keys = spark.createDataFrame(rows + rows[:5], "key long, node long, size long, mark long")
+    sizes = line_dedup.Sizes(line_dedup._sizes_near, line_dedup._marks_like, line_dedup._size_step)
+    similar = {(i, j) for i, j in itertools.combinations(range(len(forms)), 2) if line_dedup.edit_similar(forms[i], forms[j])}
+    assert len(similar) > 10
+    for ahead in (256, 3):
+        monkeypatch.setattr(linking, "AHEAD", ahead)
+        got = linking.near_members(keys, sizes).collect()
+        assert len({(r.key, r.node) for r in got}) == len(got)
+        held = {i: {r.key for r in got if r.node == i} for i in range(len(forms))}
+        assert all(len(held[i] & held[j]) == 1 + (i % 3 > 0 and j % 3 > 0) for i, j in similar)
+        by = {k: {r.node for r in got if r.key == k} for k in {r.key for r in got}}
+        assert all(r.lead == min(by[r.key]) and r.crowd == (len(by[r.key]) > 2) and r.size == size[r.node] for r in got)
+        assert all(r.star for r in got if (r.lead, r.node) in similar)
+    monkeypatch.setattr(linking, "AHEAD", 256)
+    assert linking.near_members(keys, sizes).count() < len(rows) * 0.9
+    assert linking.near_members(keys.limit(0), sizes).count() == 0
+
+
+def test_marks_allow_what_is_similar():
+    rng = random.Random(12)
+    xs, ys = [], []
+    while len(xs) < 400:
+        x = "".join(rng.choice("aeiou tnsrhéß日本語0") for _ in range(rng.randint(10, 400)))
+        y = list(x)
+        for _ in range(len(x) // 10):
+            k = rng.randrange(len(y))
+            y[k : k + 1] = rng.choice([[], [y[k], rng.choice("zé語")], [rng.choice("qzß本")]])
+        if line_dedup.edit_similar(x, "".join(y)):
+            xs.append(x)
+            ys.append("".join(y))
+    n, m = (np.array([len(t) for t in texts]) for texts in (xs, ys))
+    less, more = np.minimum(n, m), np.maximum(n, m)
+    assert line_dedup._sizes_near(less, more).all()
+    assert line_dedup._marks_like(line_dedup.marks(pa.array(xs)), line_dedup.marks(pa.array(ys)), less, more).all()
+    assert not line_dedup._marks_like(line_dedup.marks(pa.array(["e" * 40])), line_dedup.marks(pa.array(["t" * 40])), np.array([40]), np.array([40]))[0]
+
+
+def test_profiles_agree_with_single_ones():
+    texts = ["", "a", "ab", "abc", "日本語 text", "", "x" * 700, "the end"]
+    assert (line_dedup.profiles(pa.array(texts)) == np.stack([line_dedup.profile(x) for x in texts])).all()
+    assert line_dedup.profiles(pa.array([], pa.string())).shape == (0, line_dedup.BINS + 1)
+
+
+def test_large_groups_meet_by_neighbouring_sizes(spark):
+    """Every asking row meets every row of a near size in a task, and rows of other sizes don't multiply."""
+    rng = random.Random(3)
+    rows = [(5, i, i % 40 and i, -1, round(20 * 1.06 ** rng.randrange(60))) for i in range(400)]
+    rest = spark.createDataFrame(rows, "key long, node long, label long, lead long, size long")
+    got = linking._dealt(rest, 8, line_dedup._size_step).collect()
+    tasks = {}
+    for r in got:
+        tasks.setdefault(r.task, (set(), set()))[0 if r.ask else 1].add(r.node)
+    met = {(i, j) for asks, answers in tasks.values() for i in asks for j in asks | answers}
+    size = {r[1]: r[4] for r in rows}
+    assert all((i, j) in met for i in size for j in size if i % 40 and i != j and line_dedup._sizes_near(np.array([min(size[i], size[j])]), np.array([max(size[i], size[j])]))[0])
+    assert 3 * len(got) < len(linking._dealt(rest, 8).collect())
+
+
+def test_line_dedup_leaves_no_texts_in_the_shared_folder(spark):
+    """Tables with texts go when what is read of them is written."""
+    line = "a sentence that several documents hold with few words changed in it, number "
+    d = table(spark, [(i, f"{line}{words(i, 3)}\n{words(100 + i, 30)}") for i in range(20)])
+    folder = Path(line_dedup.written(d.limit(1)).written_to.removeprefix("file:")).parent
+    before = {p.name for p in folder.iterdir()}
+    assert line_dedup.dedup_lines(d).count() == 20
+    new = [spark.read.parquet(str(p)).columns for p in folder.iterdir() if p.name not in before and any(p.glob("part-*"))]
+    assert new and not any({"form", "body", "text"} & set(c) for c in new)
+
+
 def test_quotes(spark):
     a, b = "hello there, this is the first message of all", "a second thought about everything said"
     rows = [(1, 0, "u", a), (1, 1, "a", f"> {a}\n{b}"), (1, 2, "u", "unrelated words of some length"), (1, 3, "a", f">> {a.upper()}\n> {b}\nagreed with the second"), (2, 0, "u", f"> {b}\nquoted from elsewhere"), (2, 5, "u", None), (None, 1, "u", "lost message")]
